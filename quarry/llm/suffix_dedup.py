@@ -68,27 +68,28 @@ class _Chunk:
 
 def refine(text: np.ndarray, remain: np.ndarray, depth: int, q: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Bucket-pointer refinement to a depth: (suffixes in buckets of more than one, bucket pointer of each), suffixes with fewer bytes before their segment's end than depth left out."""
-    at = np.flatnonzero(remain >= q)
+    at = np.flatnonzero(remain >= q).astype(np.int32)
     wide = np.zeros(max(0, len(text) - q + 1), dtype=np.uint64)
     for k in range(q):
         wide |= text[k : k + len(wide)].astype(np.uint64) << np.uint64(8 * (q - 1 - k))
-    pointer = np.full(len(text), -1, dtype=np.int64)
+    pointer = np.full(len(text), -1, dtype=np.int32)
 
     def sort(at: np.ndarray, key: np.ndarray, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key)
         at, key = at[order], key[order]
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.r_[edge, len(key)])
+        edge = (np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0)).astype(np.int32)
+        size = np.diff(np.r_[edge, np.int32(len(key))])
         # a bucket's pointer is the place of its first suffix; a refined bucket stays inside the one it came from
         place = np.repeat(edge, size)
         if base is not None:
             old = base[order]
             begin = np.flatnonzero(np.r_[True, old[1:] != old[:-1]]) if len(old) else edge
-            place = old + place - np.repeat(begin, np.diff(np.r_[begin, len(old)]))
+            place = old + place - np.repeat(begin.astype(np.int32), np.diff(np.r_[begin, len(old)]))
         pointer[at] = place
         return at, np.repeat(size > 1, size)
 
     at, many = sort(at, wide[at], None)
+    del wide
     have = q
     while have < depth:
         step = min(have, depth - have)
@@ -126,7 +127,7 @@ def _repeats(table, window: int):
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(size)
     text = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    at, bucket = refine(text, np.repeat(ends, size) - np.arange(len(text)), window)
+    at, bucket = refine(text, (np.repeat(ends, size) - np.arange(len(text))).astype(np.int32), window)
     of = np.searchsorted(ends, at, side="right")
     ids, begin = least[0][of], least[1][of] + at - (ends - size)[of]
     order = np.lexsort((begin, ids, bucket))
@@ -156,7 +157,7 @@ def _repeats(table, window: int):
     return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("rows", pa.binary()), ("first", pa.binary()), ("last", pa.binary())]))
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 32, chunk_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 32, chunk_bytes: int = 2 << 20, bucket_bytes: int = 3 << 19) -> DataFrame:
     """One row for each of docs: id, n_bytes, kept (the bytes that stay), spans (byte offsets from, to of what went, maximal)."""
     total = text_bytes(docs, text)
     buckets = pieces(total, bucket_bytes)
