@@ -18,7 +18,7 @@ from itertools import compress
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import NULL_ID, packed, pieces, span_hashes, text_bytes, words_of
+from .common import mixed, packed, pieces, sliding_minimum, span_hashes, text_bytes, words_of
 from .recurrence import by_bucket, chunked, gram_hashes, joined, member, recurring
 
 _DOC_BITS = 20
@@ -40,10 +40,8 @@ class _Chunk:
 
     def anchors(self) -> np.ndarray:
         """Of each window."""
-        from .common import sliding_minimum
-
         short = gram_hashes(self.hash, self.anchor)
-        return sliding_minimum(short, self.window - self.anchor + 1)[self.at] & ~np.uint64(1) if len(self.at) else np.zeros(0, dtype=np.uint64)
+        return mixed(sliding_minimum(short, self.window - self.anchor + 1)[self.at]) & ~np.uint64(1) if len(self.at) else np.zeros(0, dtype=np.uint64)
 
     def keys(self, of: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
         at = self.at if of is None else self.at[of]

@@ -18,11 +18,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import packed, pieces, sliding_minimum, text_bytes
+from .common import mixed, packed, pieces, sliding_minimum, text_bytes
 from .recurrence import bucket_of, chunked, gram_hashes, joined, member, recurring
 
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _Chunk:
@@ -37,7 +36,7 @@ class _Chunk:
         n = len(self.body)
         if n < self.window:
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-        grams = gram_hashes(_BYTE[self.body], self.gram) & ~np.uint64(1)
+        grams = gram_hashes(_BYTE[self.body], self.gram)
         low = sliding_minimum(grams, self.window - self.gram + 1)
         return grams, low, self.row[: n - self.window + 1] == self.row[self.window - 1 :]
 
@@ -49,13 +48,14 @@ class _Chunk:
         span = self.window - self.gram + 1
         padded = np.r_[np.zeros(span - 1, dtype=np.uint64), np.where(ok, low, np.uint64(0)), np.zeros(span - 1, dtype=np.uint64)]
         high = ~sliding_minimum(~padded, span)  # of the windows that hold the q-gram
-        x = np.sort(grams[high[: len(grams)] == grams])
+        x = np.sort(mixed(grams[high[: len(grams)] == grams]) & ~np.uint64(1))  # minima are small numbers: mixed, they fill all buckets alike
         edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         return x[edge] | (np.diff(np.r_[edge, len(x)]) > 1).astype(np.uint64)
 
     def runs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, first window, last window) of each run whose anchor is among the ordered keys."""
         _, low, ok = self.minima()
+        low = mixed(low) & ~np.uint64(1)
         ok = ok & member(low, keys) if len(ok) else ok
         if not ok.any():
             return np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64),) * 2
