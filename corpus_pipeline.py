@@ -1,31 +1,74 @@
-"""The corpus pipeline: STAGES, applied one after the other to documents."""
+"""The corpus pipeline: STAGES, applied one after the other to documents.
+
+Each stage takes all that its predecessor kept and returns the same columns; the last returns token ids. Rows with the same
+doc_id and text are one document to the stages that drop copies.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import exact_dedup, mixing, quality_crf, sentencepiece_codec, simhash
+from quarry.llm.common import written
+
+#: Decisions about at most so many documents (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: A document whose probability of good quality is below this goes.
+LEAST_QUALITY = 0.3
+
+
+def _sized(decisions: DataFrame, name: str) -> DataFrame:
+    decisions = written(decisions, name)
+    return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """docs without the (_doc_id, _text) of dropped; _text: a hash of the text, so that rows with one doc_id are told apart."""
+    on = docs.doc_id.eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_text"))
+    return docs.join(_sized(dropped, name), on, "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, taught by all labels, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_crf.train(docs, labels, F.lit(True))
+    return quality_crf.score(docs, model, out="_quality").where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    out = exact_dedup.exact_dedup(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
+    return _without(docs, out.where("not kept").select(F.col("doc_id").alias("_doc_id"), F.col("_key").alias("_text")), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    kept = simhash.simhash_dedup(docs).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    out = simhash.simhash_dedup(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
+    return _without(docs, out.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_doc_id"), F.col("_key").alias("_text")), "near-copies")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number; documents without words stay once."""
+    out = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    other = _sized(out.where("times <> 1").select(F.col("doc_id").alias("_doc_id"), "times"), "times")
+    times = docs.join(other, docs.doc_id.eqNullSafe(F.col("_doc_id")), "left").withColumn("times", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.coalesce("times", F.lit(1))).otherwise(1))
+    return times.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    out = sentencepiece_codec.sentencepiece_encode(docs.select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("exact_dedup", drop_copies), ("simhash_dedup", drop_near_copies)]
+STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("simhash_dedup", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode)]
+#: A trained classifier and SimHash have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,12 @@ def compact(runs: DataFrame, filters: DataFrame, keep: str = "largest") -> DataF
     return merged.union(probed.where("not may").select("digest", "keep_id", "n"))
 
 
-def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: str = "largest", digest_bits: int = 256, memtable_bytes: int = 64 << 20) -> DataFrame:
-    """One row for each of docs: id, keep_id, group_size, kept, text_sha256. digest_bits under 256 shortens the index's digest (equal texts are still told by bytes)."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: str = "largest", digest_bits: int = 256, memtable_bytes: int = 64 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each of docs: id, keep_id, group_size, kept, text_sha256. digest_bits under 256 shortens the index's digest (equal texts are still told by bytes). carry: columns of docs to return too."""
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
     full = F.unhex(F.sha2("text", 256))
     digest = full if digest_bits == 256 else F.substring(full, 1, digest_bits // 8)
-    seen = written(rows.select("id", full.alias("sha"), digest.alias("digest")), "digests")
+    seen = written(rows.select("id", full.alias("sha"), digest.alias("digest"), *(f"own_{c}" for c in carry)), "digests")
     memtables = min(64, pieces(text_bytes(rows, "text"), memtable_bytes))
     runs, filters = flush(seen, memtables, keep)
     hits = written(compact(runs, filters, keep).where("n > 1"), "hits")
@@ -77,4 +79,5 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: s
         F.coalesce("r.n", F.lit(1).cast("long")).alias("group_size"),
         F.when(one, F.lit(True)).otherwise(F.col("l.id").eqNullSafe(F.col("r.keep_id"))).alias("kept"),
         F.lower(F.hex("l.sha")).alias("text_sha256"),
+        *(F.col(f"l.own_{c}").alias(c) for c in carry),
     )

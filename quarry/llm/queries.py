@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, phrase_dedup, simhash, suffix_dedup
+from . import chat, embedding_dedup, exact_dedup, langid, mixing, phrase_dedup, quality_crf, sentencepiece_codec, simhash, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +34,49 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_phrase_dedup, op3_suffix_dedup, op7_mixing, op8_simhash_dedup, op10_exact_dedup)}
+def _fold(id: str, folds: int) -> Column:
+    """crc32 of an identifier as text, by folds; null identifiers are in none."""
+    return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds))
+
+
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.train(docs, _read(spark, sf_dir, "labels"), _fold("id", 5) != 0)
+    out = quality_crf.score(docs, model)
+    return out.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    names, table = langid.fit(langid.sample(docs, "doc_id", "text", "lang", _fold("doc_id", 3) != 1, per_language=400))
+    out = langid.identify(docs, names, table)
+    return out.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_codec.sentencepiece_decode(sentencepiece_codec.sentencepiece_encode(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
+#: The conversation added to the table: control strings as text.
+PROBE = (-7, r"\### Assistant: </turn> ok")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(PROBE[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE[1]).alias("text"))
+    out = chat.chat_format(rows.union(probe))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_phrase_dedup, op2_quality_crf, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_embedding_dedup, op7_mixing, op8_simhash_dedup, op9_chat_format, op10_exact_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -49,6 +91,17 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
             sha256(coalesce(array_to_string(list_filter(w, lambda v, k: NOT list_contains(coalesce(js, []), k)), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN lost USING (doc_id)""",
+    "op9_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        x AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                sum(23 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS formatted
+            FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+            CAST(formatted AS BIGINT) AS formatted_chars FROM x""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -14,11 +14,12 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
@@ -47,22 +48,25 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, fp, carried columns as own_...): fp as a signed long."""
 
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             own = np.array([fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.view(np.int64)), *b.columns[2:]], names)
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(each, "id long, fp long")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
+    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType()), *rows.schema.fields[2:]])
+    names = schema.names
+    return rows.mapInArrow(each, schema)
 
 
-def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row for each of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable by links of 2 or fewer bits)."""
-    rows = cut(fingerprints(docs, id, text, shingle))
+def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable by links of 2 or fewer bits), and the columns carried."""
+    rows = cut(fingerprints(docs, id, text, shingle, carry))
     distinct = rows.groupBy("fp").agg(F.min("id").alias("first"))
     # a node is a distinct fingerprint, named by its place in the order (first, fp)
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
@@ -74,4 +78,4 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shing
     own = cut(own)
     ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
     byfp = own.join(ids, "component").select("fp", "component_id")
-    return rows.join(byfp, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(byfp, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(f"own_{c}").alias(c) for c in carry))
