@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 OPEN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(BODY) + "(.*?)" + re.escape(END), re.DOTALL)
@@ -75,6 +77,7 @@ def chat_format(rows: DataFrame, conversation: str = "conv_id", turn: str = "tur
     talks = rows.groupBy(F.col(conversation).alias("id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
     talks = talks.select("id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

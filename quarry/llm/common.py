@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -68,6 +71,40 @@ def packed(table, ids: str, texts: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return own, body[begin[0] : begin[-1]], begin - begin[0]
 
 
+def released(each: Callable) -> Callable:
+    """each, a function over a task's batches, which gives its worker's free memory back at the end: a worker stays for later tasks."""
+
+    @functools.wraps(each)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from each(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def blocks(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive rows of about so much in all."""
+    edge = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(sizes) // most]))
+    return list(zip(edge.tolist(), np.r_[edge[1:], len(sizes)].tolist())) if len(sizes) else []
+
+
+def text_sizes(column) -> np.ndarray:
+    """Bytes of each text of an Arrow column (null: 0)."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads them."""
     x = x ^ (x >> np.uint64(30))

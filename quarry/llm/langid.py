@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks, released, text_sizes
 from .pieces import LANES, MODEL, SPACE, Units, backward, forward, viterbi, vocabulary
 
 MEMORY = 200_000
@@ -115,19 +116,18 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray, id: str = "do
     """One row for each of docs: id, lang_pred, score (the language's share of the probability)."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         scorer = Scorer(sent.value, model)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            part = np.cumsum([len(x) for x in texts]) // _BLOCK
-            edge = np.flatnonzero(np.diff(np.r_[-1, part])).tolist()
-            for f, t in zip(edge, [*edge[1:], len(texts)]):
-                said = np.array([bool(_LETTER.search(x)) for x in texts[f:t]]) & bool(names)
+            for f, t in blocks(text_sizes(b.column(1)), _BLOCK):
+                texts = [x or "" for x in b.column(1).slice(f, t - f).to_pylist()]
+                said = np.array([bool(_LETTER.search(x)) for x in texts]) & bool(names)
                 pred, score = np.full(t - f, "und", dtype=object), np.zeros(t - f)
                 if said.any():
-                    x = scorer.score([x for x, ok in zip(texts[f:t], said) if ok])
+                    x = scorer.score([x for x, ok in zip(texts, said) if ok])
                     best = x.argmax(axis=1)
                     pred[said] = np.array(names, dtype=object)[best]
                     score[said] = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)

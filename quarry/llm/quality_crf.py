@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, packed, span_hashes, words_of
+from .common import SPACE, blocks, packed, released, span_hashes, words_of
 
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*@^~=+<>{}[]\\/_`", "|", "!?", ".,;:'\"()-")
 _BLOCK = 1 << 20
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(sample_docs)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -177,6 +178,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """docs with a column of the probability that the label is 1. The column's name must be free."""
     from pyspark.sql import types as T
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -184,8 +186,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             col = b.column(b.schema.get_field_index(text))
             one = pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, dtype=np.int64)), col], ["id", "text"])
             _, body, begin = packed(one, "id", "text")
-            edge = np.flatnonzero(np.diff(np.r_[-1, begin[1:] // _BLOCK])).tolist()
-            own = [model.score(*line_features(body[begin[f] : begin[t]], begin[f : t + 1] - begin[f])) for f, t in zip(edge, [*edge[1:], b.num_rows])]
+            own = [model.score(*line_features(body[begin[f] : begin[t]], begin[f : t + 1] - begin[f])) for f, t in blocks(np.diff(begin), _BLOCK)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(own) if own else np.zeros(0))], [*b.schema.names, out])
 
     return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import blocks, released, text_sizes
 from .pieces import MODEL, gather, viterbi, vocabulary
 
 #: Units remembered at once by a worker.
@@ -59,23 +60,17 @@ def decode(vocab, ids: np.ndarray, begin: np.ndarray) -> list[str]:
     return [body[a + 1 : b].decode("utf-8", "surrogatepass") for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
 
 
-def _blocks(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Consecutive rows of about _BLOCK in all."""
-    edge = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(sizes) // _BLOCK]))
-    return list(zip(edge.tolist(), np.r_[edge[1:], len(sizes)].tolist())) if len(sizes) else []
-
-
 def sentencepiece_encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """docs with a column of ids (array of int)."""
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder = Encoder(model)
         for b in batches:
             col = b.column(b.schema.get_field_index(text))
-            size = np.array([len(x or "") for x in col.to_pylist()], dtype=np.int64)
-            for f, t in _blocks(size):
+            for f, t in blocks(text_sizes(col), _BLOCK):
                 texts = col.slice(f, t - f).to_pylist()
                 flat, begin = encoder.encode(texts)
                 own = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in texts]))
@@ -87,6 +82,7 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", ids: str = "ids",
 def sentencepiece_decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """docs with a column of texts."""
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -94,7 +90,7 @@ def sentencepiece_decode(docs: DataFrame, ids: str = "ids", text: str = "decoded
         for b in batches:
             col = b.column(b.schema.get_field_index(ids))
             size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for f, t in _blocks(4 * size):
+            for f, t in blocks(4 * size, _BLOCK):
                 part = col.slice(f, t - f)
                 texts = decode(vocab, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(np.r_[0, size[f:t]]))
                 own = pa.array([x if ok else None for x, ok in zip(texts, part.is_valid().to_pylist())], pa.string())

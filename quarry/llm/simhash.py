@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import blocks, components, cut, released, text_sizes
 
+_BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -51,11 +52,13 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """(id, fp, carried columns as own_...): fp as a signed long."""
 
+    @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            own = np.array([fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            texts = b.column(1).cast(pa.binary())
+            own = np.array([fingerprint(x, shingle) for f, t in blocks(text_sizes(texts), _BLOCK) for x in texts.slice(f, t - f).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.view(np.int64)), *b.columns[2:]], names)
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
