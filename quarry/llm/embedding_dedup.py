@@ -38,7 +38,7 @@ def _units(payload: list[bytes], dtype) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 8, grid: int = 3, tile: int = 16_384, seed: int = 42) -> DataFrame:
+def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 16, grid: int = 2, tile: int = 8192, seed: int = 42) -> DataFrame:
     """One row for each of rows: id, n_links, component_id, kept."""
     kind = rows.schema[vector].dataType.elementType.typeName()
     dtype = np.float32 if kind == "float" else np.float64
@@ -120,25 +120,33 @@ def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
                 f, t = cuts[k]
                 return squares[k][i][:, None] + squares[k][j] - 2 * turned[i, f:t] @ turned[j, f:t].T
 
+            # a first look in single precision, with room for its rounding: squared distances of the block as one product
+            f, t = cuts[number]
+            own, one = turned[:, f:t], np.ones(len(turned))
+            left = np.c_[-2 * own, squares[number], one].astype(np.float32)[guest]
+            right = np.ascontiguousarray(np.c_[own, one, squares[number]].astype(np.float32)[home].T)
             names, place = np.unique(node, return_inverse=True)
             root, links = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
-            step = max(16, (1 << 21) // len(home))
+            step = max(16, (1 << 19) // len(home))
             for lo in range(0, len(guest), step):
                 g = guest[lo : lo + step]
-                near = apart(number, g, home) <= limit[number]
-                if near.mean() > 0.05:  # a dense cell: whole matrices
-                    near &= unit[g] @ unit[home].T >= cosine
+                near = left[lo : lo + step] @ right <= np.float32(limit[number] + 1e-5)
+                if (many := np.count_nonzero(near)) > 0.05 * near.size:  # a dense cell: whole matrices
+                    near = (apart(number, g, home) <= limit[number]) & (unit[g] @ unit[home].T >= cosine)
                     for k in range(number):
                         near &= apart(k, g, home) > limit[k]
                     i, j = np.nonzero(near)
                 else:
-                    i, j = np.nonzero(near)
-                    ok = np.concatenate([np.einsum("ij,ij->i", unit[g[i[a : a + 50_000]]], unit[home[j[a : a + 50_000]]]) >= cosine for a in range(0, len(i), 50_000)]) if len(i) else np.zeros(0, dtype=bool)
+                    if not many:
+                        continue
+                    i, j = np.divmod(np.flatnonzero(near), len(home))
+                    ok = np.einsum("ij,ij->i", unit[g[i]], unit[home[j]]) >= cosine
                     i, j = i[ok], j[ok]
-                    for k in range(number):
+                    for k in range(number + 1):
                         f, t = cuts[k]
                         d = squares[k][g[i]] + squares[k][home[j]] - 2 * np.einsum("ij,ij->i", turned[g[i], f:t], turned[home[j], f:t])
-                        i, j = i[d > limit[k]], j[d > limit[k]]
+                        ok = d > limit[k] if k < number else d <= limit[k]
+                        i, j = i[ok], j[ok]
                 a, b = place[g[i]], place[home[j]]
                 other = a != b
                 a, b, j = a[other], b[other], j[other]

@@ -74,7 +74,7 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shing
     # a node is a distinct fingerprint, named by its place in the order (first, fp)
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but 65 rows of each: not to be coalesced
-    table = distinct.repartition(parts, "fp").select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("address"), "fp")
+    table = distinct.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("address"), "fp")
     met = table.groupBy("address").agg(F.sort_array(F.collect_set("fp")).alias("met")).where(F.size("met") > 1)
     links = met.select(F.col("met")[0].alias("b"), F.explode(F.slice("met", 2, 65)).alias("a")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
     named = components(links)

@@ -30,8 +30,8 @@ def test_embeddings(spark):
                     root[k] = i
                     todo += link.get(k, ())
     want = {i: (len(link.get(i, ())), root[i], root[i] == i) for i in range(n)}
-    for tile in (16_384, 5):
-        got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup(df, tile=tile).collect()}
+    for tile in (8192, 5):
+        got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup(df, tile=tile, block=8).collect()}
         assert got == want
     assert embedding_dedup(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
