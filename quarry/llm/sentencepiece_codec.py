@@ -22,8 +22,8 @@ from .common import blocks, released, text_sizes
 from .pieces import MODEL, gather, viterbi, vocabulary
 
 #: Units remembered at once by a worker.
-MEMORY = 200_000
-_BLOCK = 1 << 20
+MEMORY = 100_000
+_BLOCK = 1 << 19
 
 
 class Encoder:
