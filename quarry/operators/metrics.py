@@ -1,10 +1,12 @@
-"""Measures of a binary classifier from its confusion matrix."""
+"""Measures of a binary classifier: confusion matrix, ROC curve, mutual information."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: tp, fn, fp, tn and the rates derived from them; a rate without cases is null. Both columns are 0 or 1; nulls do not count."""
@@ -33,3 +35,24 @@ def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     total = both.agg(F.sum("n").alias("total"))
     y = both.join(na, a).join(nb, b).join(F.broadcast(total))
     return y.select(a, b, "n", F.round(F.log(F.col("n").cast("double") * F.col("total") / (F.col("na").cast("double") * F.col("nb"))), 6).alias("mi"))
+
+
+def roc(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr) for each distinct score: what is predicted 1 from that score on. Rows with nulls do not count; a rate without cases is null."""
+    per = _by_score(rows, truth, score)
+    total = per.agg(F.sum("p").cast("double").alias("all_p"), F.sum("n").cast("double").alias("all_n"))
+    x = running(per, [F.desc("threshold")], ["p", "n"]).join(F.broadcast(total))  # one row
+    return x.select("threshold", F.col("running_p").alias("tp"), F.col("running_n").alias("fp"), F.round(F.try_divide("running_p", "all_p"), 6).alias("tpr"), F.round(F.try_divide("running_n", "all_n"), 6).alias("fpr"))
+
+
+def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """One row (positives, negatives, auc): the share of pairs of a positive and a negative that the score puts in order, ties counting half."""
+    x = running(_by_score(rows, truth, score), [F.desc("threshold")], ["p", "n"])
+    above = (F.col("running_p") - F.col("p") / 2) * F.col("n")
+    x = x.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"), F.sum(above).alias("_above"))
+    return x.select("positives", "negatives", F.round(F.try_divide(F.col("_above"), F.col("positives").cast("double") * F.col("negatives")), 6).alias("auc"))
+
+
+def _by_score(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    x = rows.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    return x.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.stem import porter_stem
 from ..functions.text import truncated, without, words
 
 
@@ -25,6 +26,12 @@ def lemmatized(terms: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     return terms.join(lemmas, terms.stem == lemmas.word, "left").withColumn("stem", F.coalesce("lemma", "stem")).drop("word", "lemma")
 
 
+def stem_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(word, lemma): the Porter stem of each word that has another, to be used in place of a table of lemmas. Only the vocabulary reaches Python."""
+    x = tokenized(docs, config).select(F.explode("tokens").alias("word")).distinct()
+    return x.withColumn("lemma", porter_stem("word")).where("word <> lemma")
+
+
 def term_counts(docs: DataFrame, config: EngineConfig = EngineConfig(), lemmas: DataFrame | None = None) -> DataFrame:
     """(doc_id, word_count, stem, cnt): stop words go before words are lemmatised."""
     terms = tokenized(docs, config).select("doc_id", "word_count", F.explode("tokens").alias("stem"))

@@ -183,6 +183,13 @@ def lemmatized_counts(spark, sf_dir):
     return terms.term_counts(_docs(spark, sf_dir), CONFIG, lemmas).select("doc_id", "stem", "cnt")
 
 
+@query()
+def stemmed_counts(spark, sf_dir):
+    """Term counts by Porter stems."""
+    docs = _docs(spark, sf_dir)
+    return terms.term_counts(docs, CONFIG, terms.stem_table(docs, CONFIG)).select("doc_id", "stem", "cnt")
+
+
 @query(_with("SELECT doc_id, stem, tf FROM tf"))
 def term_frequency(spark, sf_dir):
     return terms.term_frequency(terms.term_counts(_docs(spark, sf_dir), CONFIG), CONFIG).select("doc_id", "stem", "tf")
@@ -398,6 +405,25 @@ def confusion_metrics(spark, sf_dir):
     return metrics.confusion(x, "quality", "clean")
 
 
+_SCORED = "s AS (SELECT CAST(n_chars AS BIGINT) AS threshold, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1)"
+_RAN = "r AS (SELECT threshold, p, n, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp FROM s WINDOW w AS (ORDER BY threshold DESC))"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's length as a score of its quality."""
+    return _docs(spark, sf_dir).select("doc_id", "n_chars").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+
+
+@query(f"WITH {_SCORED}, {_RAN} SELECT threshold, tp, fp, round(tp / (SELECT sum(p) FROM s)::DOUBLE, 6) AS tpr, round(fp / (SELECT sum(n) FROM s)::DOUBLE, 6) AS fpr FROM r")
+def roc_curve(spark, sf_dir):
+    return metrics.roc(_scored(spark, sf_dir), "quality", "n_chars")
+
+
+@query(f"WITH {_SCORED}, {_RAN} SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(sum((tp - p / 2::DOUBLE) * n) / (sum(p)::DOUBLE * sum(n)), 6) AS auc FROM r")
+def roc_auc(spark, sf_dir):
+    return metrics.auc(_scored(spark, sf_dir), "quality", "n_chars")
+
+
 @query(
     """WITH b AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL)
     SELECT lang, source, n, round(ln(n::DOUBLE * sum(n) OVER () / ((sum(n) OVER (PARTITION BY lang))::DOUBLE * sum(n) OVER (PARTITION BY source))), 6) AS mi FROM b"""

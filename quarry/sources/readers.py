@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..operators import order as order_by
 
 PAGE = "title string, redirect struct<_title: string>, revision struct<text: string>"
 
@@ -18,11 +19,8 @@ def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(items: DataFrame, order: list[str], out: str = "doc_id") -> DataFrame:
-    """Dense numbers from 0 in the given order, redirects included: sorted by range, then each partition begins where those before it end."""
-    x = items.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return x.join(F.broadcast(before.drop("_n")), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    """Dense numbers from 0 in the given order, redirects included."""
+    return order_by.numbered(items, order, out)
 
 
 def limited(items: DataFrame, limit: int | None, id: str = "doc_id") -> DataFrame:
