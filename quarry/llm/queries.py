@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embedding_dedup, exact_dedup, langid, mixing, phrase_dedup, quality_crf, sentencepiece_codec, simhash, suffix_dedup
+from .oracles import ORACLES  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,33 +78,3 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_phrase_dedup, op2_quality_crf, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_embedding_dedup, op7_mixing, op8_simhash_dedup, op9_chat_format, op10_exact_dedup)}
-
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-ORACLES = {
-    "op1_phrase_dedup": rf"""
-        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        x AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13),
-        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM x),
-        least_id AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s HAVING count(*) > 1),
-        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM g JOIN least_id USING (s) WHERE doc_id > first_id),
-        lost AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
-            sha256(coalesce(array_to_string(list_filter(w, lambda v, k: NOT list_contains(coalesce(js, []), k)), ' '), '')) AS kept_sha256
-        FROM d LEFT JOIN lost USING (doc_id)""",
-    "op9_chat_format": r"""
-        WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-        x AS (
-            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-                sum(23 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS formatted
-            FROM c GROUP BY conv_id)
-        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-            CAST(formatted AS BIGINT) AS formatted_chars FROM x""",
-    "op10_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
-}
