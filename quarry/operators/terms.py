@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -32,10 +32,25 @@ def stem_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFr
     return x.withColumn("lemma", porter_stem("word")).where("word <> lemma")
 
 
+def _runs(tokens: str) -> list[Column]:
+    """Of a column of sorted tokens: the last place of each distinct one, as an array, and the array of (stem, cnt) that follows from it."""
+    ends = F.filter(F.transform(tokens, lambda w, i: F.when(w == F.get(tokens, i + 1), 0).otherwise(i + 1)), lambda end: end > 0)
+    count = lambda end, k: (end - F.coalesce(F.get("_ends", k - 1), F.lit(0))).cast("long")
+    return [ends, F.transform("_ends", lambda end, k: F.struct(F.get(tokens, end - 1).alias("stem"), count(end, k).alias("cnt")))]
+
+
 def term_counts(docs: DataFrame, config: EngineConfig = EngineConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, word_count, stem, cnt): stop words go before words are lemmatised."""
-    terms = tokenized(docs, config).select("doc_id", "word_count", F.explode("tokens").alias("stem"))
-    return lemmatized(terms, lemmas).groupBy("doc_id", "word_count", "stem").agg(F.count("*").alias("cnt"))
+    """(doc_id, word_count, stem, cnt): stop words go before words are lemmatised. A row of docs is a document.
+
+    A document's terms are counted where it lies, as runs of its sorted tokens: no shuffle but for lemmas. The outer form of
+    inline keeps the optimizer from tokenising a second time, to see whether there is any term."""
+    ends, runs = _runs("_sorted")
+    x = tokenized(docs, config).select("doc_id", "word_count", F.sort_array("tokens").alias("_sorted"))
+    x = x.withColumn("_ends", ends).withColumn("_runs", runs)
+    counts = x.select("doc_id", "word_count", F.inline_outer("_runs")).where(F.col("stem").isNotNull())
+    if lemmas is None:
+        return counts
+    return lemmatized(counts, lemmas).groupBy("doc_id", "word_count", "stem").agg(F.sum("cnt").alias("cnt"))
 
 
 def term_frequency(counts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -83,6 +98,6 @@ def norms(doc_terms: DataFrame) -> DataFrame:
 
 
 def unit_terms(doc_terms: DataFrame) -> DataFrame:
-    """(doc_id, stem, w): weights over the document's norm; documents without weight drop out."""
-    n = norms(doc_terms).where("norm > 0").select("doc_id", "norm")
-    return doc_terms.join(n, "doc_id").select("doc_id", "stem", (F.col("tf_idf") / F.col("norm")).alias("w"))
+    """(doc_id, stem, w): weights over the document's norm; documents without weight drop out. A window, so that doc_terms is computed and moved once."""
+    norm = F.sqrt(F.sum(F.col("tf_idf") * F.col("tf_idf")).over(Window.partitionBy("doc_id")))
+    return doc_terms.select("doc_id", "stem", "tf_idf", norm.alias("norm")).where("norm > 0").select("doc_id", "stem", (F.col("tf_idf") / F.col("norm")).alias("w"))

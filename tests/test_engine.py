@@ -195,3 +195,29 @@ def test_stream(spark, tmp_path):
     q = classify_stream(documents(spark, str(tmp_path / "in")), doc_terms, idf, docs.agg(F.count("*").alias("n_docs")), labels, str(tmp_path / "out"), str(tmp_path / "cp"), EngineConfig(stopwords=STOP, k=1))
     q.awaitTermination(120)
     assert {r.new_id: r.knn_class for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 2, 1: 0}
+
+
+def test_term_counts_in_the_row(spark):
+    import random
+    import re
+    from collections import Counter
+
+    from quarry.config import STOPWORDS
+    from quarry.operators import terms
+
+    r = random.Random(4)
+    texts = [None, "", " .,; ", "the THE a", "x", "X x.x", "é É_1 漢", *(" ".join(r.choice(["the", "Ab", "ab", "c1", "Zé", "--"]) for _ in range(r.randint(0, 60))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for i, t in enumerate(texts):
+        words = re.findall(r"\w+", (t or "").lower())
+        kept = [w for w in words if w not in STOPWORDS]
+        want |= {(i, len(words) + len(kept), w, n) for w, n in Counter(kept).items()}
+    rows = [tuple(x) for x in terms.term_counts(docs).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "Exchange" not in terms.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    lemmas = spark.createDataFrame([("ab", "zé"), ("c1", "c1")], "word string, lemma string")
+    merged = Counter()
+    for i, n, w, k in want:
+        merged[i, n, {"ab": "zé"}.get(w, w)] += k
+    assert {tuple(x) for x in terms.term_counts(docs, lemmas=lemmas).collect()} == {(*k, n) for k, n in merged.items()}
