@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, quality_crf, sentencepiece_codec, simhash
+from quarry.llm import exact_dedup, mixing, near_copies, quality_crf, sentencepiece_codec
 from quarry.llm.common import written
 
 #: Decisions about at most so many documents (16 bytes each) are broadcast; more are joined by shuffle.
@@ -43,8 +43,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    out = simhash.simhash_dedup(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
+    """Of each group linked by a similarity of 0.8 or more over shingles of five words, the document with the smallest doc_id stays."""
+    out = near_copies.near_copies(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
     return _without(docs, out.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_doc_id"), F.col("_key").alias("_text")), "near-copies")
 
 
@@ -63,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("simhash_dedup", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode)]
-#: A trained classifier and SimHash have no SQL; tests hold the stages against brute force.
+#: A trained classifier has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

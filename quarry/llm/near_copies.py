@@ -1,0 +1,126 @@
+"""Near copies by exact shingle similarity: two texts are linked where the Jaccard similarity of their sets of shingles is at least a bound.
+
+A fingerprint of 64 bits cannot find these pairs (at similarity 0.8 about 10 of its bits differ), so candidates come from a
+prefix filter, which misses none: with shingles in one order for all texts, two similar texts share one of the first
+n - ceil(least n) + 1 of their n shingles. The order puts shingles that a sample finds often last, then goes by hash; the
+sample only decides how many candidates there are. Texts that share a prefix shingle are first compared with one leader, twice,
+then all that are not linked yet with each other; every candidate is verified on the whole sets.
+
+Defined results: words as in simhash; a text with fewer words than a shingle is one shingle; texts without words, or null, are
+linked with each other; equal sets are merged by a 64-bit hash; otherwise as in simhash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import blocks, components, cut, dealt, pieces, released, text_sizes, written
+from .simhash import shingles
+
+_BLOCK = 1 << 20
+#: Texts of the sample that finds frequent shingles, and so many of them at most are put last.
+SAMPLE, FREQUENT = 5000, 200_000
+#: Rounds in which texts are compared with one leader of those that share a shingle.
+LEADERS = 2
+#: At most so many nodes (8 bytes each) are broadcast to fetch their sets; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def shingle_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, node, hs, carried columns as own_...): hs the sorted distinct shingle hashes, node a hash of them."""
+
+    @released
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            texts = b.column(1).cast(pa.binary())
+            for f, t in blocks(text_sizes(texts), _BLOCK):
+                sets = [np.unique(np.array(shingles(x, shingle), dtype=np.uint64)).view(np.int64) for x in texts.slice(f, t - f).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
+                at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                part = b.slice(f, t - f)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets))), *part.columns[2:]], names)
+
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
+    schema = T.StructType([rows.schema["id"], T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.LongType())), *rows.schema.fields[2:]])
+    names = schema.names
+    return rows.mapInArrow(each, schema)
+
+
+def _prefixes(sets: DataFrame, sample: DataFrame, least: int) -> DataFrame:
+    """(h, node, n, at): the first shingles of each set of n, at their places in the order."""
+    often = sample.select(F.explode("hs").alias("h")).groupBy("h").count().where("count >= 3")
+    often = np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], dtype=np.int64)
+    by = np.argsort(often)
+    known, rank = often[by], len(often) - by  # the most frequent has the largest rank; others have 0
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(x), dtype=np.int64)
+        i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return np.where(known[i] == x, rank[i], 0)
+
+    @released
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            ends = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin, nodes = np.cumsum(sizes) - sizes, b.column(0).to_numpy()
+            first = np.where(sizes > 0, sizes - -(-least * sizes // 100) + 1, 0)
+            order = np.lexsort((ends, ranks(ends), np.repeat(np.arange(len(sizes)), sizes)))
+            at = np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)
+            h = ends[order[np.repeat(begin, first) + at]] if len(at) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(nodes, first)), pa.array(np.repeat(sizes, first).astype(np.int32)), pa.array(at.astype(np.int32))], ["h", "node", "n", "at"])
+
+    return sets.select("node", "hs").mapInArrow(each, "h long, node long, n int, at int")
+
+
+def _may(a: str, b: str, least: int) -> Column:
+    """Whether what two sets hold from their common shingle on can be enough."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return left * (100 + least) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * least
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: int = 80, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each of docs: id, component_id (smallest id reachable by links of least percent similarity or more), and the columns carried."""
+    sets = shingle_sets(docs, id, text, shingle, carry)  # larger than the texts, so made anew where needed and not kept
+    rows = cut(sets.drop("hs"))
+    k = pieces(rows.count(), SAMPLE)
+    sample = shingle_sets(docs.where(dealt(F.col(text), k) == 0), id, text, shingle)
+    by = Window.partitionBy("h")
+    entries = _prefixes(sets, sample, least).withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo < hi").select("h", "node", "n", "at")
+    entries = written(entries, "prefixes")
+    named = rows.select("node", F.col("node").alias("component")).limit(0)
+    for turn in range(LEADERS + 1):
+        now = entries.join(named, "node", "left").select("h", F.struct("node", "n", "at").alias("e"), F.coalesce("component", "node").alias("c"))
+        apart = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("e.node", F.lit(turn)), "e", "c")).alias("m")).where("lo < hi")
+        if turn < LEADERS:
+            met = now.alias("x").join(apart.select("h", "m"), "h").select(F.col("m.e").alias("a"), F.col("e").alias("b"), F.col("m.c").alias("ca"), F.col("c").alias("cb")).where("ca <> cb")
+        else:
+            left = now.join(apart.select("h"), "h", "left_semi")
+            met = left.select("h", F.col("e").alias("a"), F.col("c").alias("ca")).join(left.select("h", F.col("e").alias("b"), F.col("c").alias("cb")), "h").where("ca < cb")
+        pairs = met.where(_may("a", "b", least)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        pairs = cut(pairs)
+        nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        found = nodes.count()
+        if not found:
+            continue
+        own = cut(sets.join(F.broadcast(nodes) if found <= BROADCAST_ROWS else nodes, "node", "left_semi").select("node", "hs").dropDuplicates(["node"]))
+        pairs = pairs.join(own.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b").join(own.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
+        same = F.size(F.array_intersect("ha", "hb"))
+        links = cut(pairs.where(same * (100 + least) >= (F.size("ha") + F.size("hb")) * least).select("a", "b"))
+        if not links.isEmpty():
+            named = cut(components(links.union(named.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    first = rows.join(named, "node", "left").select("id", F.coalesce("component", "node").alias("component"), *(f"own_{c}" for c in carry))
+    first = cut(first)
+    ids = first.groupBy("component").agg(F.min("id").alias("component_id"))
+    return first.join(ids, "component").select(F.col("id").alias(id), "component_id", *(F.col(f"own_{c}").alias(c) for c in carry))

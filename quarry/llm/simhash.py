@@ -27,23 +27,29 @@ _BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint of a text, unsigned."""
+def shingles(text: bytes | None, shingle: int = 3, seed: int = 42) -> list[int]:
+    """A 64-bit hash of each shingle of a text."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     line, ends, at = b" ".join(words), [], -1
     for w in words:
         at += 1 + len(w)
         ends.append(at)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, seed)]
-    else:
-        starts = [0, *(e + 1 for e in ends)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(line, seed)]
+    starts = [0, *(e + 1 for e in ends)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """The fingerprint of a text, unsigned."""
+    hashes = shingles(text, shingle, seed)
+    if not hashes:
+        return 0
     cells = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(cells[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])

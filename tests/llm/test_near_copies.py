@@ -1,0 +1,58 @@
+import random
+
+import corpus_pipeline
+
+from quarry.llm import near_copies
+
+from .helpers import docs
+
+
+def sets(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups(texts):
+    own, root = [sets(t) for t in texts], list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 10 * len(own[i] & own[j]) >= 8 * len(own[i] | own[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def edited(r, words, k):
+    words = list(words)
+    for i in r.sample(range(len(words)), k):
+        words[i] = f"new{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+def texts():
+    """Copies with more and more words changed, a long common line, short and empty texts."""
+    r = random.Random(3)
+    out = [None, "", " ", "a", "A", "a b", "a b c d e", "a b c d e f"]
+    line = [f"line{i}" for i in range(60)]
+    for n in (12, 60, 200):
+        base = [f"w{r.randrange(5000)}" for _ in range(n)]
+        out += [edited(r, base, k) for k in (0, 0, 1, 1, 2, 3, 4, 5, 6, 8) if k < n]
+    out += [" ".join([*line, *(f"v{r.randrange(10**6)}" for _ in range(r.randint(3, 40)))]) for _ in range(30)]
+    r.shuffle(out)
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    own = texts()
+    want = groups(own)
+    assert len(set(want)) < len(own) - 15
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs(spark, own)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    own = [" ".join(base), *(edited(r, base, 3) for _ in range(5)), " ".join(base[:100])]
+    out = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs(spark, own), "")
+    assert sorted(x.doc_id for x in out.collect()) == [0, 6]
