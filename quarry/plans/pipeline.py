@@ -59,7 +59,7 @@ class Pipeline:
         n_docs = self.docs.agg(F.count("*").alias("n_docs"))
         with self.timed("classify"):
             new_terms = terms.tfidf_of_new(new, self.idf, n_docs, self.config).persist()
-            near = classify.neighbors(new_terms, self.terms, self.labels, self.config).persist()
+            near = classify.neighbors(new_terms, self.terms, self.labels, self.config, asked=new).persist()
             out = classify.knn_label(near).persist()
             out.count()
         if not svm:

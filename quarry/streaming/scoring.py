@@ -19,7 +19,7 @@ def classify_stream(stream: DataFrame, doc_terms: DataFrame, idf: DataFrame, n_d
     """Writes (new_id, knn_class) of each batch to its own folder of out, so that a batch that runs again replaces its rows."""
 
     def batch(df: DataFrame, number: int) -> None:
-        near = neighbors(tfidf_of_new(df, idf, n_docs, config), doc_terms, labels, config)
+        near = neighbors(tfidf_of_new(df, idf, n_docs, config), doc_terms, labels, config, asked=df)
         knn_label(near).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -221,3 +221,15 @@ def test_term_counts_in_the_row(spark):
     for i, n, w, k in want:
         merged[i, n, {"ab": "zé"}.get(w, w)] += k
     assert {tuple(x) for x in terms.term_counts(docs, lemmas=lemmas).collect()} == {(*k, n) for k, n in merged.items()}
+
+
+def test_documents_without_terms_are_classified(spark):
+    docs = corpus(spark, ["sun sky moon", "cat dog", "sun moon", "cow dog cat", "sky sun"])
+    run = Pipeline(spark, EngineConfig(stopwords=STOP, centers=2, k=3)).parse(docs).cluster()
+    new = spark.createDataFrame([(100, "sun"), (101, ""), (102, None), (103, "... !")], "doc_id long, text string")
+    labels = {x.doc_id: x.center_id for x in run.labels.collect()}
+    first = [labels[i] for i in range(3)]
+    out = {x.new_id: x for x in run.classify(new).collect()}
+    assert set(out) == {100, 101, 102, 103}
+    assert all(out[i].knn_class == max(first, key=lambda c: (first.count(c), -first.index(c))) and out[i].svm_class in first for i in (101, 102, 103))
+    assert classify.hashed(run.terms, ids=new.select("doc_id")).count() == 4
