@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, but only if the driver and all workers are one machine (tests)."""
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "staged").as_uri()
+    if said := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return said
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+    return Path(tempfile.gettempdir(), "checkpoints").as_uri()
 
 
 def staged(df: DataFrame) -> DataFrame:
