@@ -5,34 +5,30 @@ from __future__ import annotations
 import contextlib
 import functools
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import shared_dir
+
 #: Stands for a null identifier inside workers: after every real one.
 NULL_ID = np.iinfo(np.int64).max
 #: ASCII white space, the complement of [^\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Tables in the shared folder, by application.
+_TABLES: dict[str, list[str]] = {}
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "checkpoints").as_uri())
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation of its lineage."""
-    shared_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -40,9 +36,24 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """The tables written so far and not removed, in order."""
+    return _TABLES.setdefault(spark.sparkContext.applicationId, [])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        tables(spark).remove(path)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts, for sizing partitions."""
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

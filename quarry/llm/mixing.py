@@ -55,10 +55,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: flo
     return x.select("source", "source_size", "total", F.least(F.col("_cap"), F.coalesce(F.col("_at"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), repeats: int = 3, seed: int = 42, blocks: int = 10_000_000, shard_words: int = 65_536, max_shards: int = 4096) -> DataFrame:
-    """One row for each of docs: id, size, source_size, target, taken."""
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), repeats: int = 3, seed: int = 42, blocks: int = 10_000_000, shard_words: int = 65_536, max_shards: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each of docs: id, size, source_size, target, taken, and the columns carried."""
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"own_{c}") for c in carry)))
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     per = per.withColumn("block", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / blocks))).withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long"))
     per = apportion(per, [], ["source"], "target", "seats", "quota")
@@ -79,4 +79,4 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     none = F.lit(0).cast("long")
     run = F.greatest(none, F.least("hi", "end") - F.greatest("lo", "start"))
     around = F.greatest(none, F.least(F.col("hi"), F.col("end") - F.col("words")) - F.col("lo"))
-    return x.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("passes") * F.col("size") + run + around).cast("long").alias("taken"))
+    return x.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("passes") * F.col("size") + run + around).cast("long").alias("taken"), *(F.col(f"own_{c}").alias(c) for c in carry))

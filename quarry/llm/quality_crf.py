@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column of the probability that the label is 1. The column's name must be free."""
+    """docs with a column of the probability that the label is 1, in place of any of that name."""
+    docs = docs.drop(out)
     from pyspark.sql import types as T
 
     @released

@@ -28,7 +28,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_dedup(_read(spark, sf_dir, "documents"))
+    return simhash.simhash_dedup(_read(spark, sf_dir, "documents"), shingle=3, distance=2, segments=2, similarity=None, repeats=True)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ text falls into units, equal units have equal ids, and a bounded memory of units
 piece are spelled in byte pieces, so decoding gives back every text exactly.
 
 Defined results: a null text has null ids and decodes to null; an empty one has none; of equally good segmentations the one
-with the longer last piece wins; other columns pass through untouched.
+with the longer last piece wins; repeated rows are rows like others; very long texts are whole, each unit in a window; an empty
+table gives an empty result; a column of the result's name is replaced, other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def decode(vocab, ids: np.ndarray, begin: np.ndarray) -> list[str]:
 
 
 def sentencepiece_encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """docs with a column of ids (array of int)."""
+    """docs with a column of ids (array of int), in place of any of that name."""
+    docs = docs.drop(ids)
 
     @released
     def each(batches: Iterator) -> Iterator:
@@ -80,7 +82,8 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", ids: str = "ids",
 
 
 def sentencepiece_decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
-    """docs with a column of texts."""
+    """docs with a column of texts, in place of any of that name."""
+    docs = docs.drop(text)
 
     @released
     def each(batches: Iterator) -> Iterator:

@@ -1,33 +1,45 @@
 """SimHash near-dedup by multi-index hashing.
 
-A 64-bit fingerprint has two 32-bit segments. For each segment its Hamming ball of radius 1 is enumerated while the other
-segment stays as it is; every value so enumerated is an address of that segment's table. Two fingerprints within 2 bits
-meet at an address (one differing bit each, or an end), so each address's fingerprints are fetched, compared with its first
-by complete distance, and linked in a star. An address holds at most 65 distinct fingerprints, however many rows or near
-copies there are; equal fingerprints are merged before.
+A fingerprint of 64 bits falls into segments, and a distance of so many bits is shared out among them: two fingerprints
+within the distance differ in one segment by no more than that segment's share. Each segment has a table of its values.
+Small Hamming balls are enumerated within the segment, half the share around the values in the table and the other half around
+those that look them up, the matches are fetched, and of every match the complete distance is verified. A value that too many
+fingerprints share is split by exact pieces of the other segments, one more than the distance, of which close fingerprints
+share at least one; where the distance is too great for pieces of 8 bits, adaptive execution splits the join instead.
+
+With a similarity, a match within the distance is linked only if the Jaccard similarity of the whole shingle sets reaches it.
+Then texts that share a segment value are first compared with one leader of theirs, a few times over with different leaders, so
+that of a group of near copies only members are enumerated in pairs that no leader has linked.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text with fewer words than a shingle is one shingle;
-a text without words, or null, has fingerprint zero and is linked like any other; rows with the same identifier or a null
-one are rows like others (a null never names a component unless alone); an empty table gives an empty result; other columns
-are ignored.
+a text without words, or null, has fingerprint zero and no shingles, and all such texts are similar; texts are told apart by
+64-bit hashes; rows with the same identifier or a null one are rows like others (a null never names a component unless alone);
+very long texts count whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, components, cut, released, text_sizes
+from .common import blocks, components, cut, released, text_sizes, written
 
 _BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: An address is a segment's number and a value of it.
+_VALUE_BITS = 40
+#: Addresses with more table entries than this are split by the other segments.
+HOT = 4096
+#: Rounds in which texts are compared with one leader of those that share a segment value.
+LEADERS = 3
 
 
-def shingles(text: bytes | None, shingle: int = 3, seed: int = 42) -> list[int]:
+def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> list[int]:
     """A 64-bit hash of each shingle of a text."""
     import xxhash
 
@@ -45,47 +57,174 @@ def shingles(text: bytes | None, shingle: int = 3, seed: int = 42) -> list[int]:
     return [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint of a text, unsigned."""
-    hashes = shingles(text, shingle, seed)
-    if not hashes:
+def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.array(shingles(text, shingle, seed), dtype=np.uint64))
+
+
+def fingerprint(hashes) -> int:
+    """The fingerprint of shingle hashes, unsigned: bits set in over half of them."""
+    if not len(hashes):
         return 0
     cells = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(cells[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, fp, carried columns as own_...): fp as a signed long."""
+def _rows(docs: DataFrame, id: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    body = F.col(text).cast("string")
+    return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key"), body.alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
+
+
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, repeats: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, key, fp, n, carried columns as own_...): key a hash of the text, fp as a signed long, n distinct shingles. repeats: whether a shingle counts as often as it occurs."""
 
     @released
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        of = shingles if repeats else shingle_set
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            own = np.array([fingerprint(x, shingle) for f, t in blocks(text_sizes(texts), _BLOCK) for x in texts.slice(f, t - f).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.view(np.int64)), *b.columns[2:]], names)
-
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType()), *rows.schema.fields[2:]])
+            texts = b.column(2).cast(pa.binary())
+            own, n = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+            for f, t in blocks(text_sizes(texts), _BLOCK):
+                for k, x in enumerate(texts.slice(f, t - f).to_pylist(), f):
+                    hashes = of(x, shingle)
+                    own[k], n[k] = fingerprint(hashes), len(set(hashes)) if repeats else len(hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.view(np.int64)), pa.array(n), *b.columns[3:]], names)
+
+    rows = _rows(docs, id, text, carry)
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), *rows.schema.fields[3:]])
     names = schema.names
     return rows.mapInArrow(each, schema)
 
 
-def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, carry: Sequence[str] = ()) -> DataFrame:
-    """One row for each of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable by links of 2 or fewer bits), and the columns carried."""
-    rows = cut(fingerprints(docs, id, text, shingle, carry))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    # a node is a distinct fingerprint, named by its place in the order (first, fp)
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but 65 rows of each: not to be coalesced
-    table = distinct.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("address"), "fp")
-    met = table.groupBy("address").agg(F.sort_array(F.collect_set("fp")).alias("met")).where(F.size("met") > 1)
-    links = met.select(F.col("met")[0].alias("b"), F.explode(F.slice("met", 2, 65)).alias("a")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    named = components(links)
-    own = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    own = cut(own)
-    ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    byfp = own.join(ids, "component").select("fp", "component_id")
-    return rows.join(byfp, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(f"own_{c}").alias(c) for c in carry))
+def segments_of(distance: int, segments: int) -> list[tuple[int, int, int]]:
+    """(offset, width, radius) of each segment needed: two fingerprints within the distance differ in one of them by its radius or less."""
+    widths = [64 // segments + (k < 64 % segments) for k in range(segments)]
+    share = [(distance + 1) // segments + (k < (distance + 1) % segments) for k in range(segments)]
+    return [(64 - sum(widths[k:]), w, s - 1) for k, (w, s) in enumerate(zip(widths, share)) if s]
+
+
+def _longs(values: Sequence[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def _value(offset: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", offset).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _ball(width: int, radius: int) -> Column:
+    """All changes of at most radius bits."""
+    return _longs([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)])
+
+
+def addresses(rows: DataFrame, parts: list[tuple[int, int, int]], look_up: bool) -> DataFrame:
+    """rows by the addresses of their fp (a column): the balls to look up, or those in the tables."""
+
+    def near(k: int, offset: int, width: int, radius: int) -> Column:
+        value = _value(offset, width)
+        return F.transform(_ball(width, radius - radius // 2 if look_up else radius // 2), lambda x: value.bitwiseXOR(x) + F.lit(k << _VALUE_BITS).cast("long"))
+
+    own = [near(k, *part) for k, part in enumerate(parts)]
+    return rows.select(F.explode(F.concat(*own)).alias("address"), *rows.columns)
+
+
+def _split(entries: DataFrame, hot: DataFrame, parts: list[tuple[int, int, int]], distance: int) -> DataFrame:
+    """Entries by address and sub: those of hot addresses by the pieces of their other bits, any others once, with sub 0."""
+
+    def pieces(offset: int, width: int) -> Column:
+        turned = F.shiftrightunsigned("fp", (offset + width) % 64).bitwiseOR(F.shiftleft("fp", (64 - offset - width) % 64))
+        left, n, at, out = 64 - width, distance + 1, 0, []
+        for k in range(n):
+            size = left // n + (k < left % n)
+            out.append(F.shiftrightunsigned(turned, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")) + F.lit((k + 1) << _VALUE_BITS).cast("long"))
+            at += size
+        return F.array(*out)
+
+    sub = F.array(F.lit(0).cast("long"))
+    for k, (o, w, _) in enumerate(parts):
+        sub = F.when(F.col("hot") & (F.shiftright("address", _VALUE_BITS) == k), pieces(o, w)).otherwise(sub)
+    own = entries.join(hot.withColumn("hot", F.lit(True)), "address", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return own.select("address", F.explode(sub).alias("sub"), *entries.columns[1:])
+
+
+def matches(nodes: DataFrame, distance: int, segments: int, more: Column | None = None, hot: int = HOT) -> DataFrame:
+    """(a, b): all pairs of nodes (node, fp, n, c) of different c whose fingerprints differ in at most distance bits; more: a further condition on a.n and b.n."""
+    parts = segments_of(distance, segments)
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but many entries of each: not to be coalesced
+    nodes = nodes.repartition(spread, F.xxhash64("node"))
+    table, asked, on = addresses(nodes, parts, False), addresses(nodes, parts, True), ["address"]
+    if all((64 - w) // (distance + 1) >= 8 for _, w, _ in parts):
+        many = cut(table.groupBy("address").count().where(F.col("count") > hot).select("address"))
+        table, asked, on = _split(table, many, parts, distance), _split(asked, many, parts, distance), ["address", "sub"]
+    close = (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
+    met = asked.alias("a").join(table.alias("b"), on).where(close if more is None else close & more)
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int, least: int) -> DataFrame:
+    """Of pairs (a, b) of text hashes, those whose shingle sets have a similarity of least percent or more."""
+
+    @released
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(1).cast(pa.binary())
+            for f, t in blocks(text_sizes(texts), _BLOCK):
+                own = [shingle_set(x, shingle).view(np.int64) for x in texts.slice(f, t - f).to_pylist()]
+                at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(f, t - f), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["key", "hs"])
+
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = _rows(docs, id, text).join(nodes, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    own = written(own.mapInArrow(sets, "key long, hs array<long>"), "shingle-sets")
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("hs").alias("ha")), "a").join(own.select(F.col("key").alias("b"), F.col("hs").alias("hb")), "b")
+    same = F.size(F.array_intersect("ha", "hb"))
+    return written(both.where(same * (100 + least) >= (F.size("ha") + F.size("hb")) * least).select("a", "b"), "links")
+
+
+def _led(nodes: DataFrame, distance: int, segments: int, may: Column, similar) -> DataFrame | None:
+    """(node, component) by links to leaders alone; None without any link."""
+    widths = segments_of(63, segments)
+    entries = written(nodes.select("node", "fp", "n", F.explode(F.array(*(_value(o, w) + F.lit(k << _VALUE_BITS).cast("long") for k, (o, w, _) in enumerate(widths)))).alias("address")), "segments")
+    named = None
+    for turn in range(LEADERS):
+        now = entries.withColumn("c", F.col("node")) if named is None else entries.join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        lead = now.groupBy("address").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "fp", "n", "c")).alias("m")).where("lo < hi").select("address", "m.*").drop("h")
+        met = now.alias("a").join(lead.alias("b"), "address").where((F.col("a.c") != F.col("b.c")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance) & may)
+        links = similar(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+        if links.isEmpty():
+            break
+        named = written(components(links if named is None else links.union(named.select(F.col("node").alias("a"), F.col("component").alias("b")))), "led")
+    return named
+
+
+def simhash_dedup(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 11, segments: int = 4, similarity: int | None = 80, repeats: bool = False, carry: Sequence[str] = (), hot: int = HOT
+) -> DataFrame:
+    """One row for each of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable by links), and the columns carried.
+
+    A link: fingerprints that differ in distance bits or fewer and, unless similarity (percent) is None, shingle sets that are so similar."""
+    rows = cut(fingerprints(docs, id, text, shingle, repeats, carry).withColumn("node", F.col("fp" if similarity is None else "key")))
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    if similarity is None:
+        links = matches(nodes.withColumn("c", F.col("node")), distance, segments, hot=hot)
+    else:
+        nodes = cut(nodes)
+        may = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * similarity
+
+        def similar(pairs: DataFrame) -> DataFrame:
+            return _similar(pairs, docs, id, text, shingle, similarity)
+
+        led = _led(nodes, distance, segments, may, similar)
+        now = nodes.withColumn("c", F.col("node")) if led is None else nodes.join(led, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        links = similar(matches(now, distance, segments, may, hot))
+        links = links if led is None else links.union(led.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    own = cut(rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    ids = own.groupBy("component").agg(F.min("id").alias("component_id"))
+    return own.join(ids, "component").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(f"own_{c}").alias(c) for c in carry))

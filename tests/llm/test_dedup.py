@@ -5,7 +5,6 @@ import pytest
 
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.phrase_dedup import phrase_dedup
-from quarry.llm.simhash import fingerprint, simhash_dedup
 from quarry.llm.suffix_dedup import suffix_dedup
 
 from .helpers import corpus, docs
@@ -109,24 +108,3 @@ def brute_fingerprint(t, n=3):
         return 0
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + n]).encode(), 42) for k in range(max(1, len(w) - n + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def test_simhash(spark):
-    texts = corpus(4, 40) + ["q r s t u v w x y z " * 40 + str(i) for i in range(30)] + ["A É b", "a É b", "one two", "ONE two "]
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup(docs(spark, texts)).collect()}
-    fps = [brute_fingerprint(t) for t in texts]
-    assert [fingerprint((t or "").encode()) for t in texts] == fps
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert got == {i: (f"{fps[i]:016x}", find(i)) for i in range(len(texts))}
-    assert simhash_dedup(docs(spark, [])).count() == 0

@@ -1,27 +1,65 @@
 import random
 
-import corpus_pipeline
+import pytest
 
-from quarry.llm import near_copies
+from quarry.llm import simhash
+from quarry.llm.simhash import fingerprint, shingle_set, shingles, simhash_dedup
 
-from .helpers import docs
+from .helpers import corpus, docs
+from .test_dedup import brute_fingerprint
 
+CONTRACT = {"shingle": 3, "distance": 2, "segments": 2, "similarity": None, "repeats": True}
 
-def sets(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-
-def groups(texts):
-    own, root = [sets(t) for t in texts], list(range(len(texts)))
-    for j in range(len(texts)):
+def grouped(n, linked):
+    """The smallest member of each one's group."""
+    root = list(range(n))
+    for j in range(n):
         for i in range(j):
-            if 10 * len(own[i] & own[j]) >= 8 * len(own[i] | own[j]) and root[i] != root[j]:
+            if root[i] != root[j] and linked(i, j):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     return root
 
 
+def test_contract_against_brute_force(spark):
+    texts = corpus(4, 40) + ["q r s t u v w x y z " * 40 + str(i) for i in range(30)] + ["A É b", "a É b", "one two", "ONE two ", "long text " * 50_000]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [fingerprint(shingles((t or "").encode(), 3)) for t in texts] == fps
+    want = grouped(len(texts), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    for hot in (simhash.HOT, 1):
+        got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup(docs(spark, texts), hot=hot, **CONTRACT).collect()}
+        assert got == {i: (f"{fps[i]:016x}", want[i]) for i in range(len(texts))}
+    assert simhash_dedup(docs(spark, []), **CONTRACT).count() == 0
+    assert simhash_dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("distance,segments", [(0, 2), (2, 2), (2, 4), (3, 3), (7, 3), (11, 4)])
+def test_matches_are_all_pairs_within_the_distance(spark, distance, segments):
+    r = random.Random(distance)
+    base = [r.getrandbits(64) for _ in range(6)]
+    fps = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, distance + 3))) for b in base for _ in range(14)]
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f, 1, i) for i, f in enumerate(fps)], "node long, fp long, n long, c long")
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= distance}
+    for hot in (simhash.HOT, 0):
+        assert {(x.a, x.b) for x in simhash.matches(nodes, distance, segments, hot=hot).collect()} == want
+
+
+def test_verification_rejects_what_a_table_matches(spark):
+    # equal in the first segment, far apart in the second: they meet at an address, and the complete distance parts them
+    nodes = spark.createDataFrame([(0, 5, 1, 0), (1, 5 | 7 << 40, 1, 1), (2, 5 | 1 << 40, 1, 2)], "node long, fp long, n long, c long")
+    parts = simhash.segments_of(2, 2)
+    met = simhash.addresses(nodes, parts, True).alias("a").join(simhash.addresses(nodes, parts, False).alias("b"), "address").where("a.node < b.node")
+    assert {(x.a, x.b) for x in met.selectExpr("a.node a", "b.node b").collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert {(x.a, x.b) for x in simhash.matches(nodes, 2, 2).collect()} == {(0, 2), (1, 2)}
+
+
+def test_repeated_and_null_identifiers(spark):
+    texts = ["one two three four", "one two three four", None, "", "five six seven", "five six seven", "eight"]
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_dedup(docs(spark, texts, [4, 4, None, 9, None, None, 1]), **CONTRACT).collect())
+    assert got == sorted([("4", "4"), ("4", "4"), ("None", "9"), ("9", "9"), ("None", "None"), ("None", "None"), ("1", "1")])
+
+
 def edited(r, words, k):
     words = list(words)
     for i in r.sample(range(len(words)), k):
@@ -29,7 +67,7 @@ def edited(r, words, k):
     return " ".join(words)
 
 
-def texts():
+def near_texts():
     """Copies with more and more words changed, a long common line, short and empty texts."""
     r = random.Random(3)
     out = [None, "", " ", "a", "A", "a b", "a b c d e", "a b c d e f"]
@@ -42,17 +80,29 @@ def texts():
     return out
 
 
-def test_near_copies_against_brute_force(spark):
-    own = texts()
-    want = groups(own)
-    assert len(set(want)) < len(own) - 15
-    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs(spark, own)).collect()}
-    assert got == dict(enumerate(want))
+def test_similarity_against_brute_force(spark):
+    texts = near_texts()
+    own = [set(shingle_set((t or "").encode()).tolist()) for t in texts]
+    fps = [fingerprint(shingle_set((t or "").encode())) for t in texts]
+
+    def similar(i, j):
+        return 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])
+
+    want = grouped(len(texts), lambda i, j: similar(i, j) and (fps[i] ^ fps[j]).bit_count() <= 11)
+    assert len(set(want)) < len(texts) - 15
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash_dedup(docs(spark, texts)).collect()}
+    assert got == {i: (f"{fps[i]:016x}", c) for i, c in enumerate(want)}
 
 
-def test_pipeline_stage_drops_near_copies(spark):
-    r = random.Random(5)
-    base = [f"w{i}" for i in range(200)]
-    own = [" ".join(base), *(edited(r, base, 3) for _ in range(5)), " ".join(base[:100])]
-    out = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs(spark, own), "")
-    assert sorted(x.doc_id for x in out.collect()) == [0, 6]
+def test_recall_of_planted_near_copies(spark):
+    """Of texts of 150 to 400 words, copies of at most one word in 60 changed: 0.9 of those with similarity 0.8 or more must go."""
+    r = random.Random(9)
+    texts, own = [], []
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(150, 400))]
+        texts += [" ".join(base), edited(r, base, max(1, len(base) // r.choice((60, 80, 150))))]
+    for t in texts:
+        own.append(set(shingle_set(t.encode()).tolist()))
+    want = [i + 1 for i in range(0, 120, 2) if 100 * len(own[i] & own[i + 1]) >= 80 * len(own[i] | own[i + 1])]
+    got = {x.doc_id for x in simhash_dedup(docs(spark, texts)).collect() if x.doc_id != x.component_id}
+    assert len(want) > 40 and got <= set(want) and len(got) >= 0.9 * len(want)
