@@ -1,16 +1,17 @@
 """The corpus pipeline: STAGES, applied one after the other to documents.
 
-Each stage takes all that its predecessor kept and returns the same columns; the last returns token ids. Rows with the same
-doc_id and text are one document to the stages that drop copies.
+Each stage takes all that its predecessor kept and returns the same columns; the last returns token ids. A row is known by its
+doc_id and a 64-bit hash of its text, so that rows which share a doc_id are told apart. Further columns of documents pass
+through, whatever their names; operators see doc_id, text, source and columns of the stage's own only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, near_copies, quality_crf, sentencepiece_codec
-from quarry.llm.common import written
+from quarry.llm import exact_dedup, mixing, quality_crf, sentencepiece_codec, simhash
+from quarry.llm.common import remove, tables, written
 
 #: Decisions about at most so many documents (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -18,42 +19,54 @@ BROADCAST_ROWS = 500_000
 LEAST_QUALITY = 0.3
 
 
-def _sized(decisions: DataFrame, name: str) -> DataFrame:
-    decisions = written(decisions, name)
-    return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs without the (_doc_id, _text) of dropped; _text: a hash of the text, so that rows with one doc_id are told apart."""
-    on = docs.doc_id.eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_text"))
-    return docs.join(_sized(dropped, name), on, "left_anti")
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """What an operator is to see of docs."""
+    return docs.select("doc_id", "text", *columns, _key().alias("key"))
+
+
+def _decided(docs: DataFrame, decisions: DataFrame, name: str, how: str) -> DataFrame:
+    """docs joined to decisions about (doc_id, key), whose further columns are in a struct that docs cannot clash with."""
+    decisions = written(decisions.select(F.struct("*").alias("_")), name)
+    decisions = F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
+    own = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", _key().alias("key")).select("doc", F.struct("doc_id", "key").alias("at"))
+    return own.join(decisions, F.col("at.doc_id").eqNullSafe(F.col("_.doc_id")) & (F.col("at.key") == F.col("_.key")), how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, taught by all labels, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_crf.train(docs, labels, F.lit(True))
-    return quality_crf.score(docs, model, out="_quality").where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    boxed = docs.select("text", F.struct(*docs.columns).alias("doc"))
+    return quality_crf.score(boxed, model).where(F.col("score") >= LEAST_QUALITY).select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    out = exact_dedup.exact_dedup(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
-    return _without(docs, out.where("not kept").select(F.col("doc_id").alias("_doc_id"), F.col("_key").alias("_text")), "copies")
+    """Of equal texts, one row with the largest doc_id stays."""
+    out = exact_dedup.exact_dedup(_keyed(docs), carry=["key"])
+    # rows of one doc_id and text are equally good: all but one go, whichever
+    per = out.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
+    left = _decided(docs, per, "copies", "left")
+    again = left.where("_.kept").select("at", "doc").groupBy("at").agg(F.first("doc").alias("doc"))
+    return left.where("_ is null").select("doc.*").union(again.select("doc.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more over shingles of five words, the document with the smallest doc_id stays."""
-    out = near_copies.near_copies(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), carry=["_key"])
-    return _without(docs, out.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_doc_id"), F.col("_key").alias("_text")), "near-copies")
+    """Of each group of near copies the rows with the smallest doc_id stay. Near copies: fingerprints over shingles of five words within 11 bits, and a similarity of 0.8 or more."""
+    out = simhash.simhash_dedup(_keyed(docs), carry=["key"])
+    gone = out.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "key").distinct()
+    return _decided(docs, gone, "near-copies", "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number; documents without words stay once."""
-    out = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    other = _sized(out.where("times <> 1").select(F.col("doc_id").alias("_doc_id"), "times"), "times")
-    times = docs.join(other, docs.doc_id.eqNullSafe(F.col("_doc_id")), "left").withColumn("times", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.coalesce("times", F.lit(1))).otherwise(1))
-    return times.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    out = mixing.mix(_keyed(docs, "source"), carry=["key"]).where("size > 0")
+    times = out.groupBy("doc_id", "key").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times <> 1")
+    mixed = _decided(docs, times, "times", "left").withColumn("times", F.coalesce("_.times", F.lit(1)))
+    return mixed.select("doc", F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times"))))).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +82,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(tables(spark))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove(spark, tables(spark)[before:-1])  # what the stage kept on its way, and the stage before it
     return STAGES[-1][1](spark, docs, sf_dir)
