@@ -135,10 +135,10 @@ def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each span of body, from prefix sums of a polynomial."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(_BASE, len(body)), powers(_INVERSE, len(body))
+    up, down = powers(_BASE, len(body)), powers(_INVERSE, len(body) + 1)  # an empty span may begin at the end
     table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     sums = np.zeros(len(body) + 1, dtype=np.uint64)
-    np.cumsum(table[body] * up, out=sums[1:])
+    np.cumsum(table[body] * up[: len(body)], out=sums[1:])
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 

@@ -54,7 +54,7 @@ def line_features(body: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.n
     low, high = np.searchsorted(ws, start), np.searchsorted(ws, end)
     n = high - low
     again = np.r_[0, np.cumsum(np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0))]
-    cols.append((again[high] - again[low]) / np.maximum(n, 1))
+    cols.append((again[high] - again[np.minimum(low + 1, high)]) / np.maximum(n, 1))  # no word before the line counts
     whole = span_hashes(body, start, end)
     _, which, times = np.unique(whole ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
     cols.append(((times[which] > 1) & (size > 0)).astype(float))
