@@ -3,12 +3,14 @@
 For each language, piece probabilities over a fixed public vocabulary are fitted by expectation maximisation over all
 segmentations of words. A text's score in a language is the probability that the forward algorithm sums over all its
 segmentations; no piece crosses the space before a word, so it is the product of the words' own, and a bounded memory of
-words saves repeating them. Words are lower-cased.
+words saves repeating them. Words are lower-cased and of any length: in a script without spaces a whole line is one.
 
-Learning takes about per_language documents of each language, chosen by a hash of their identifier; that bound is the only
-sample. Defined results: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be
+Learning takes about per_language documents of each language, chosen by a hash of their identifier, and of these the first
+in the order of that hash whose texts come to sample_chars characters together (at least one); those bounds are the only
+sample, and every word of it teaches. What the driver and each worker hold grows with the number of languages, which are meant to be
+at most some hundreds. Defined results: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be
 learned; a null or unseen language teaches nothing; ties fall to the first language by code point; repeated rows are rows
-like others; an empty table gives an empty result; other columns are ignored.
+like others; a very long text or word is scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, released, text_sizes
-from .pieces import LANES, MODEL, SPACE, Units, backward, forward, viterbi, vocabulary
+from .pieces import MODEL, Units, backward, forward, viterbi, vocabulary
 
 MEMORY = 200_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -39,7 +41,7 @@ def fit(samples: list[tuple[str, str]], model: str = MODEL, rounds: int = 2, smo
     counts = [Counter() for _ in names]
     for name, text in samples:
         counts[names.index(name)].update(words_of(text))
-    units = sorted({w for c in counts for w in c if len(w) < LANES})
+    units = sorted({w for c in counts for w in c})
     if not units:
         return [], np.zeros((vocab.size, 0), dtype=np.float32)
     weight = np.array([[c[w] for c in counts] for w in units], dtype=float)
@@ -101,15 +103,18 @@ class Scorer:
         return np.stack([np.bincount(row, weights=values[:, k], minlength=len(texts)) for k in range(values.shape[1])], axis=1)
 
 
-def sample(docs: DataFrame, id: str, text: str, lang: str, learn: Column, per_language: int) -> list[tuple[str, str]]:
-    """About per_language documents of each language among those to learn from."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+def sample(docs: DataFrame, id: str, text: str, lang: str, learn: Column, per_language: int = 400, sample_chars: int = 4_000_000) -> list[tuple[str, str]]:
+    """About per_language documents of each language among those to learn from, and not more than sample_chars characters of texts, but for one text at least."""
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     part = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
-    chance = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) / 1e6
-    return [(r.lang, r.text) for r in rows.where(chance < part[F.col("lang")]).select("lang", "text").collect()]
+    order = F.xxhash64("id", F.lit(4))
+    few = rows.where(F.pmod(order, F.lit(1_000_000)) / 1e6 < part[F.col("lang")])
+    before = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy(order, "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.char_length("text") <= sample_chars))
+    return [(r.lang, r.text) for r in few.select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, names: list[str], table: np.ndarray, id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -16,6 +16,8 @@ SPACE = "▁"
 _LITERAL = "\ud800"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 LANES = 63
+#: So few lanes are worked one after the other.
+FEW = 3
 
 
 @lru_cache(maxsize=2)
@@ -107,6 +109,7 @@ class Units:
         self.order = np.argsort([-len(u) for u in units], kind="stable")
         self.flat, self.start, self.end = flatten([units[k] for k in self.order])
         self.size = self.end - self.start
+        self.ends: dict[int, np.ndarray] = {}
         n, last = len(self.flat), np.repeat(self.end, self.size)
         letters, h = mixed(self.flat.astype(np.uint64) + np.uint64(1)), np.zeros(n, dtype=np.uint64)
         self.ids = []
@@ -120,6 +123,15 @@ class Units:
         """How many units have at least t characters."""
         return int(np.searchsorted(-self.size, -t, side="right"))
 
+    def ending(self, lane: int) -> np.ndarray:
+        """Of one lane: row t holds the pieces that end after t + 1 characters, by length."""
+        if lane not in self.ends:
+            own = np.full((self.size[lane], len(self.ids)), -1, dtype=np.int32)
+            for l, ids in enumerate(self.ids):
+                own[l:, l] = ids[self.start[lane] : self.end[lane] - l]
+            self.ends[lane] = own
+        return self.ends[lane]
+
     def rows(self, table: np.ndarray) -> np.ndarray:
         """Scores of characters that are no piece, by their byte pieces, as rows beside table's; self.ids[0] then has no -1."""
         lone = np.flatnonzero(self.ids[0] < 0) if self.ids else np.zeros(0, dtype=np.int64)
@@ -140,6 +152,14 @@ def forward(u: Units, table: np.ndarray) -> np.ndarray:
     out[u.start + lane] = 0
     for t in range(1, int(u.size.max(initial=0)) + 1):
         n = u.lanes(t)
+        if n <= FEW:  # long units: all pieces that end there at once, lane by lane
+            for k in range(n):
+                got = u.ending(k)[t - 1][: min(t, len(u.ids))]
+                l = np.flatnonzero(got >= 0)
+                if len(l):
+                    to = u.start[k] + k + t
+                    out[to] = np.logaddexp.reduce(out[to - 1 - l] + table[got[l]], axis=0)
+            continue
         to = u.start[:n] + lane[:n] + t
         for l, ids in enumerate(u.ids[:t], 1):
             got = ids[u.start[:n] + t - l]
@@ -156,6 +176,14 @@ def backward(u: Units, table: np.ndarray) -> np.ndarray:
     out[u.end + lane] = 0
     for t in range(int(u.size.max(initial=0)) - 1, -1, -1):
         n = u.lanes(t + 1)
+        if n <= FEW:
+            for k in range(n):
+                at = u.start[k] + t
+                got = np.array([ids[at] for ids in u.ids[: u.size[k] - t]])
+                l = np.flatnonzero(got >= 0)
+                if len(l):
+                    out[at + k] = np.logaddexp.reduce(out[at + k + 1 + l] + table[got[l]], axis=0)
+            continue
         at = u.start[:n] + t
         for l, ids in enumerate(u.ids, 1):
             ok = np.flatnonzero(t + l <= u.size[:n])

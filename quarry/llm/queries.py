@@ -49,7 +49,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    names, table = langid.fit(langid.sample(docs, "doc_id", "text", "lang", _fold("doc_id", 3) != 1, per_language=400))
+    names, table = langid.fit(langid.sample(docs, "doc_id", "text", "lang", _fold("doc_id", 3) != 1))
     out = langid.identify(docs, names, table)
     return out.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
