@@ -1,27 +1,30 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is so many consecutive words of one document. A window's anchor is the smallest hash of the short word runs in it,
-so equal windows have equal anchors. Anchors that recur name the windows that may; these windows meet by a 76-bit key, which
-confirms the recurring ones and the smallest identifier of each. In each chunk of documents the confirmed windows that must
-go are compiled, a bounded number of words at a time, into Aho-Corasick automata over word codes, and all documents of the
-chunk are streamed through them; every occurrence in a document that is not the first is removed.
+A phrase is a window of so many consecutive words of one document. A window's anchor is the smallest hash of the short word
+runs in it, so equal windows have equal anchors, and a document falls into runs of windows of one anchor. Every run whose anchor
+recurs anywhere is sent to the shard (bucket) of its anchor. A shard confirms, word by word, the phrases that documents of
+different identifiers hold, with the smallest identifier of each; compiles the confirmed ones into Aho-Corasick automata whose
+letters are words; and streams all runs that any document sent through them. Every occurrence so located in a document with a
+greater identifier is removed. Hashes decide only what meets: nothing is removed that is not equal word by word.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, unchanged; a null or empty text has none; windows are judged on the input;
-repeats in one document, or in rows with the same identifier, do not count; a null identifier comes after all others; an
-empty table gives an empty result; other columns are ignored.
+repeats in one document, or in rows with the same identifier, do not count; a null identifier comes after all others; a very
+long text is whole in its chunk's task, and its runs go to many shards; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from itertools import compress
+from functools import cached_property
+from itertools import chain, compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import mixed, packed, pieces, sliding_minimum, span_hashes, text_bytes, words_of
-from .recurrence import by_bucket, chunked, gram_hashes, joined, member, recurring
+from .recurrence import ANSWER, HOT, Runs, answered, chosen, chunked, edges, expanded, gram_hashes, marked, met, opened, recurring, spans
 
-_DOC_BITS = 20
+_SECOND = 0x5851F42D4C957F2D
 
 
 class _Chunk:
@@ -31,86 +34,130 @@ class _Chunk:
         self.table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         self.ids, self.body, begin = packed(self.table, "id", "text")
         self.start, self.end, self.first = words_of(self.body, begin)
-        self.hash = span_hashes(self.body, self.start, self.end)
+        self.window, self.anchor = window, anchor
         row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         n = max(0, len(row) - window + 1)
-        self.at = np.flatnonzero(row[:n] == row[len(row) - n :])  # first words of windows
-        self.row = row[self.at]
-        self.window, self.anchor = window, anchor
-
-    def anchors(self) -> np.ndarray:
-        """Of each window."""
-        short = gram_hashes(self.hash, self.anchor)
-        return mixed(sliding_minimum(short, self.window - self.anchor + 1)[self.at]) & ~np.uint64(1) if len(self.at) else np.zeros(0, dtype=np.uint64)
-
-    def keys(self, of: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
-        at = self.at if of is None else self.at[of]
-        return gram_hashes(self.hash, self.window, salt)[at] if len(at) else np.zeros(0, dtype=np.uint64)
-
-
-def _named(table, window: int, anchor: int) -> np.ndarray:
-    """A chunk's anchors; the lowest bit is set if two identifiers have it."""
-    c = _Chunk(table, window, anchor)
-    x = c.anchors()
-    if not len(x):
-        return x
-    once = np.r_[True, (x[1:] != x[:-1]) | (c.row[1:] != c.row[:-1])]
-    x, own = x[once], c.ids[c.row[once]]
-    order = np.argsort(x, kind="stable")
-    x, own = x[order], own[order]
-    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    return x[edge] | (np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)).astype(np.uint64)
-
+        self.row, self.ok = row[:n], row[:n] == row[len(row) - n :]  # of the window that begins at each word
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hashes(self.body, self.start, self.end)
+
+    def anchors(self, salt: int = 0) -> np.ndarray:
+        """Of the window that begins at each word."""
+        if not len(self.row):
+            return np.zeros(0, dtype=np.uint64)
+        return mixed(sliding_minimum(gram_hashes(self.hash, self.anchor, salt), self.window - self.anchor + 1)) & ~np.uint64(1)
+
+    def named(self) -> np.ndarray:
+        """The chunk's anchors; the lowest bit is set if two identifiers have it."""
+        x, row = self.anchors()[self.ok], self.row[self.ok]
+        if not len(x):
+            return x
+        once = np.r_[True, (x[1:] != x[:-1]) | (row[1:] != row[:-1])]
+        x, own = x[once], self.ids[row[once]]
+        order = np.argsort(x, kind="stable")
+        x, own = x[order], own[order]
+        edge = edges(x)
+        return x[edge] | (np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)).astype(np.uint64)
+
+    def runs(self, keys: np.ndarray) -> Runs:
+        key, ok = chosen(self.anchors(), self.ok, keys, lambda: self.anchors(_SECOND))
+        a, b = spans(key, self.row, ok)
+        row = self.row[a]
+        return Runs(key[a], row, self.ids[row], a - self.first[row], self.start[a], self.end[b + self.window - 1] if len(b) else b, self.body)
+
+
+def phrases_of(codes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The number of the phrase of window codes that begins at each place: by hash, and by words where a hash stands for two phrases."""
+    key = gram_hashes(mixed(codes.astype(np.uint64) + np.uint64(1)), window)[at]
+    order = np.argsort(key, kind="stable")
+    edge = np.r_[True, key[order][1:] != key[order][:-1]]
+    number = np.empty(len(at), dtype=np.int64)
+    number[order] = np.cumsum(edge) - 1
+    own, head = at[order], at[order][np.flatnonzero(edge)][np.cumsum(edge) - 1]
+    if all(np.array_equal(codes[own + k], codes[head + k]) for k in range(window)):
+        return number
+    return np.unique(codes[at[:, None] + np.arange(window)], axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def located(codes: np.ndarray, phrases: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, phrase) of every occurrence in the stream codes of the phrases that begin at the places given: one automaton, a letter a word."""
+    import ahocorasick
 
-def phrase_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, automaton_words: int = 150_000) -> DataFrame:
+    known = np.unique(codes[phrases[:, None] + np.arange(window)])
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    letter = np.where(known[at] == codes, at + 1, 0)  # 0: in no phrase
+    stream = (letter + np.where(letter >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, p in enumerate(phrases.tolist()):
+        automaton.add_word(stream[p : p + window], k)
+    automaton.make_automaton()
+    hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
+    return hits[:, 0] - window + 1, hits[:, 1]
+
+
+def _shard(table, window: int, automaton_phrases: int):
+    """Of one shard: for each chunk, the windows (row, first, last) that a smaller identifier has too."""
+    texts, places = opened(table)
+    number: dict[bytes, int] = {b"": 0}  # a code of its own parts the texts in the stream
+    size, codes = np.zeros(len(texts), dtype=np.int64), [0]
+    for k, x in enumerate(texts):
+        words = x.split()
+        size[k] = len(words)
+        codes.extend([number.setdefault(w, len(number)) for w in words])
+        codes.append(0)
+    codes = np.array(codes)
+    begin = np.cumsum(size + 1) - size
+    least, most = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
+    for p in places:
+        np.minimum.at(least, p.of, p.id)
+        np.maximum.at(most, p.of, p.id)
+    windows = size - window + 1
+    of = np.repeat(np.arange(len(texts)), windows)
+    at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(len(of))
+    phrase = phrases_of(codes, at, window)
+    n = int(phrase.max(initial=-1)) + 1
+    low, high, first = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, dtype=np.int64)
+    np.minimum.at(low, phrase, least[of])
+    np.maximum.at(high, phrase, most[of])
+    first[phrase[::-1]] = at[::-1]
+    confirmed = np.flatnonzero(high > low)
+    found, bound = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k in range(0, len(confirmed), automaton_phrases):
+        some = confirmed[k : k + automaton_phrases]
+        place, which = located(codes, first[some], window)
+        found.append(place)
+        bound.append(low[some][which])
+    found, bound = np.concatenate(found), np.concatenate(bound)
+    order = np.argsort(found)
+    found, bound = found[order], bound[order]
+    # neighbours with one bound are one finding
+    new = np.flatnonzero(np.r_[True, (np.diff(found) != 1) | (np.diff(bound) != 0)]) if len(found) else found
+    a, b, bound = found[new], found[np.r_[new[1:], len(found)] - 1] if len(new) else found, bound[new]
+    text = np.searchsorted(begin, a, side="right") - 1
+    a, b = a - begin[text], b - begin[text]
+    lower = np.searchsorted(text, np.arange(len(texts)))
+    count = np.searchsorted(text, np.arange(len(texts)), side="right") - lower
+    out = []
+    for p in places:
+        place, one = expanded(p.of, lower, count)
+        goes = p.id[place] > bound[one]
+        place, one = place[goes], one[goes]
+        out.append((p.chunk, p.row[place], p.start[place] + a[one], p.start[place] + b[one]))
+    return answered(out)
+
+
+def phrase_dedup(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5, chunk_bytes: int = 4 << 20, bucket_bytes: int = 2 << 20, automaton_phrases: int = 50_000, hot: int = HOT
+) -> DataFrame:
     """One row for each of docs: id, n_words, n_removed, kept (the words that stay, joined by one space), spans (word numbers from, to of what went)."""
     total = text_bytes(docs, text)
     buckets = pieces(total, bucket_bytes)
     chunks = chunked(docs, id, text, pieces(total, chunk_bytes))
-    anchors = recurring(chunks, lambda t: _named(t, window, anchor), buckets)
-
-    def windows(left, right):
-        """Keys of the windows whose anchor recurs, each with its smallest identifier in the chunk."""
-        import pyarrow as pa
-
-        out = {k: [] for k in ("bucket", "chunk", "keys", "more", "ids")}
-        if left.num_rows and right.num_rows:
-            c = _Chunk(left, window, anchor)
-            may = np.flatnonzero(member(c.anchors(), joined(right, "keys") & ~np.uint64(1)))
-            keys, check, row = c.keys(may), c.keys(may, 1) >> np.uint64(64 - 32 + _DOC_BITS), c.row[may]
-            order = np.argsort(keys, kind="stable")
-            keys, check, row = keys[order], check[order], row[order]
-            once = np.r_[True, (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])] if len(keys) else np.zeros(0, dtype=bool)
-            keys, check, row = keys[once], check[once], row[once]
-            for low in range(0, len(c.ids), 1 << _DOC_BITS):
-                of = (row >= low) & (row < low + (1 << _DOC_BITS))
-                x, more, used = keys[of], (check[of] << np.uint64(_DOC_BITS)) | (row[of] - low).astype(np.uint64), c.ids[low : low + (1 << _DOC_BITS)]
-                for b, f, t in by_bucket(x, buckets):
-                    rows, place = np.unique(more[f:t] & np.uint64((1 << _DOC_BITS) - 1), return_inverse=True)
-                    out["bucket"].append(b)
-                    out["keys"].append(x[f:t].tobytes())
-                    out["more"].append(((more[f:t] >> np.uint64(_DOC_BITS) << np.uint64(_DOC_BITS)) | place.astype(np.uint64)).astype(np.uint32).tobytes())
-                    out["ids"].append(used[rows.astype(np.int64)].tobytes())
-            out["chunk"] = [left.column("chunk")[0].as_py()] * len(out["bucket"])
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())]))
-
-    def later(table):
-        """Of one bucket: for each chunk, those of its windows that a smaller identifier elsewhere has too."""
-        import pyarrow as pa
-
-        keys = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        more = [np.frombuffer(x, dtype=np.uint32) for x in table.column("more").to_pylist()]
-        ids = [np.frombuffer(x, dtype=np.int64)[m & ((1 << _DOC_BITS) - 1)] for x, m in zip(table.column("ids").to_pylist(), more)]
-        k, m, i = np.concatenate(keys), np.concatenate(more) >> _DOC_BITS, np.concatenate(ids)
-        order = np.lexsort((i, m, k))
-        k, m, i = k[order], m[order], i[order]
-        edge = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])]
-        late = np.empty(len(k), dtype=bool)
-        late[order] = i > i[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-        cuts = np.cumsum([0, *map(len, keys)])
-        sent = [(c, x[late[a:b]]) for c, x, a, b in zip(table.column("chunk").to_pylist(), keys, cuts, cuts[1:])]
-        sent = [(c, x) for c, x in sent if len(x)]
-        return pa.table({"chunk": pa.array([c for c, _ in sent], pa.int32()), "keys": pa.array([x.tobytes() for _, x in sent], pa.binary())})
+    anchors = recurring(chunks, lambda t: _Chunk(t, window, anchor).named(), buckets, hot)
+    sent = met(chunks, anchors, lambda t, keys: _Chunk(t, window, anchor).runs(keys), buckets)
+    late = sent.groupBy("bucket").applyInArrow(lambda t: _shard(t, window, automaton_phrases), ANSWER)
 
     def remove(left, right):
         import pyarrow as pa
@@ -119,71 +166,17 @@ def phrase_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window
         if not left.num_rows:
             return schema.empty_table()
         c = _Chunk(left, window, anchor)
-        gone = np.zeros(len(c.start), dtype=bool)
-        keys, own = c.keys(), c.ids[c.row]
-        if len(keys):
-            order = np.argsort(keys, kind="stable")  # rows are in the order of identifiers
-            k, i = keys[order], own[order]
-            edge = np.r_[True, k[1:] != k[:-1]]
-            bound = np.empty(len(k), dtype=np.int64)  # a document loses the phrase if its identifier is greater
-            bound[order] = i[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-            bound[member(keys, joined(right, "keys"))] = np.iinfo(np.int64).min
-            goes = own > bound
-            rows = np.flatnonzero(np.r_[True, np.diff(c.first[:-1] // automaton_words) > 0])  # so many words an automaton
-            for a, b in zip(rows, np.r_[rows[1:], len(c.ids)]):
-                _stream(c, int(a), int(b), keys, bound, goes, gone)
+        gone = marked(right, c.first, len(c.start), window)
         out = {"id": c.table.column("id"), "n_words": np.diff(c.first), "n_removed": [], "kept": [], "spans": []}
         lost = np.r_[0, np.cumsum(gone)]
-        step = np.diff(np.r_[False, gone, False].astype(np.int8))
         for r, x in enumerate(c.table.column("text").cast(pa.binary()).to_pylist()):
             a, b = c.first[r], c.first[r + 1]
             words, n = (x or b"").split(), int(lost[b] - lost[a])
             out["n_removed"].append(n)
             out["kept"].append(b" ".join(compress(words, (~gone[a:b]).tolist()) if n else words).decode())
-            g = np.diff(np.r_[False, gone[a:b], False].astype(np.int8)) if n else step[:0]
+            g = np.diff(np.r_[False, gone[a:b], False].astype(np.int8)) if n else np.zeros(0, dtype=np.int8)
             out["spans"].append(np.stack([np.flatnonzero(g == 1), np.flatnonzero(g == -1)], axis=1).tolist() if n else [])
         return pa.table(out, schema=schema)
 
-    found = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(windows, "bucket int, chunk int, keys binary, more binary, ids binary")
-    late = found.groupBy("bucket").applyInArrow(later, "chunk int, keys binary")
     out = chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string, spans array<array<int>>")
     return out.withColumnRenamed("id", id)
-
-
-def _stream(c: _Chunk, a: int, b: int, keys: np.ndarray, bound: np.ndarray, goes: np.ndarray, gone: np.ndarray) -> None:
-    """Compile the phrases that go from rows a to b, stream these rows and mark every occurrence in gone."""
-    import ahocorasick
-
-    lo, hi = c.first[a], c.first[b]
-    w = slice(*np.searchsorted(c.at, [lo, hi]))
-    _, which = np.unique(keys[w][goes[w]], return_index=True)
-    if not len(which):
-        return
-    which = np.flatnonzero(goes[w])[which]
-    begins, bounds = c.at[w][which] - lo, bound[w][which]
-    used = np.zeros(hi - lo + 1, dtype=np.int64)
-    np.add.at(used, begins, 1)
-    np.add.at(used, begins + c.window, -1)
-    used = np.cumsum(used)[:-1] > 0
-    words = c.hash[lo:hi]
-    known = np.unique(words[used])
-    code = np.where(member(words, known), np.searchsorted(known, words) + 1, 0)  # 0: a word of no phrase
-    side = int(len(known) ** 0.5) + 2
-    # two characters a word, from two alphabets, so that a match begins at a word; documents are parted by a word of no phrase
-    lines = np.insert(code, c.first[a + 1 : b] - lo, 0)
-    real = np.insert(np.arange(lo, hi), c.first[a + 1 : b] - lo, -1)
-    text = np.stack([256 + code // side, 256 + 2 * side + code % side], axis=1).astype("<u4").tobytes().decode("utf-32-le")
-    stream = np.stack([256 + lines // side, 256 + 2 * side + lines % side], axis=1).astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    n = 2 * c.window
-    for k, at in enumerate((2 * begins).tolist()):
-        automaton.add_word(text[at : at + n], k)
-    automaton.make_automaton()
-    hits = np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
-    begin = real[hits[:, 0] // 2 - c.window + 1]
-    row = np.searchsorted(c.first, begin, side="right") - 1
-    begin = begin[c.ids[row] > bounds[hits[:, 1]]]
-    marks = np.zeros(hi - lo + 1, dtype=np.int64)
-    np.add.at(marks, begin - lo, 1)
-    np.add.at(marks, begin - lo + c.window, -1)
-    gone[lo:hi] |= np.cumsum(marks)[:-1] > 0

@@ -1,16 +1,18 @@
 """Suffix-array dedup by bucket-pointer refinement.
 
 A window is a string of so many bytes of one document. Its anchor is the smallest hash of the q-grams in it, so equal windows
-have equal anchors, and a document falls into runs of windows of one anchor. Runs whose anchor recurs meet by their anchor,
-equal ones merged, in buckets of bounded size, and the suffixes of a bucket's text are sorted to the depth of a window:
-buckets of equal 8-grams first, then every bucket of more than one suffix is refined by sorting on the bucket pointers at a
-later offset, each refinement reusing the pointers that the one before has updated. Suffixes still in one bucket begin with
-equal windows; all but the earliest go.
+have equal anchors, and a document falls into runs of windows of one anchor. Runs whose anchor recurs meet by their anchor, equal
+ones merged, in buckets; an anchor that many chunks hold is split by a second one. The suffixes of a bucket's text are sorted at
+least to the depth of a window: buckets of equal 8-grams first, then one block of buckets after the other is refined to the end
+by sorting on the bucket pointers at the offset that is known to be equal. Pointers are updated at once, so that a bucket refined
+later compares as many bytes in one step as the buckets it points to are deep. Suffixes that begin with equal windows are
+neighbours then; all but the earliest go.
 
 Defined results: texts are UTF-8 bytes (null: empty); matches never cross documents; a byte goes if a window that covers it
 also starts earlier (smaller identifier, or same document and earlier start), judged on the input; rows with the same
 identifier are different documents of equal rank, so that equal starts in them do not count as earlier; a null identifier
-comes after all others; an empty table gives an empty result; other columns are ignored.
+comes after all others; a very long text is whole in its chunk's task, and its runs go to many buckets; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import mixed, packed, pieces, sliding_minimum, text_bytes
-from .recurrence import bucket_of, chunked, gram_hashes, joined, member, recurring
+from .recurrence import ANSWER, HOT, Runs, answered, chosen, chunked, edges, expanded, gram_hashes, marked, met, opened, recurring, spans
 
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SECOND = 0x5851F42D4C957F2D
+#: Suffixes that are refined together.
+_BLOCK = 1 << 16
 
 
 class _Chunk:
@@ -29,111 +34,100 @@ class _Chunk:
         self.table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         self.ids, self.body, self.begin = packed(self.table, "id", "text")
         self.window, self.gram = window, gram
-        self.row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin))
+        row, n = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin)), max(0, len(self.body) - window + 1)
+        self.row, self.ok = row[:n], row[:n] == row[len(row) - n :]  # of the window that begins at each byte
 
-    def minima(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(q-gram hashes, each window's anchor, whether a window starts there)."""
-        n = len(self.body)
-        if n < self.window:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-        grams = gram_hashes(_BYTE[self.body], self.gram)
-        low = sliding_minimum(grams, self.window - self.gram + 1)
-        return grams, low, self.row[: n - self.window + 1] == self.row[self.window - 1 :]
+    def minima(self, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(q-gram hashes, the smallest in the window that begins at each byte)."""
+        if not len(self.row):
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        grams = gram_hashes(_BYTE[self.body], self.gram, salt)
+        return grams, sliding_minimum(grams, self.window - self.gram + 1)
 
     def named(self) -> np.ndarray:
         """Anchors; the lowest bit is set if one stands at two places."""
-        grams, low, ok = self.minima()
-        if not ok.any():
+        grams, low = self.minima()
+        if not self.ok.any():
             return np.zeros(0, dtype=np.uint64)
         span = self.window - self.gram + 1
-        padded = np.r_[np.zeros(span - 1, dtype=np.uint64), np.where(ok, low, np.uint64(0)), np.zeros(span - 1, dtype=np.uint64)]
+        padded = np.r_[np.zeros(span - 1, dtype=np.uint64), np.where(self.ok, low, np.uint64(0)), np.zeros(span - 1, dtype=np.uint64)]
         high = ~sliding_minimum(~padded, span)  # of the windows that hold the q-gram
         x = np.sort(mixed(grams[high[: len(grams)] == grams]) & ~np.uint64(1))  # minima are small numbers: mixed, they fill all buckets alike
-        edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        edge = edges(x)
         return x[edge] | (np.diff(np.r_[edge, len(x)]) > 1).astype(np.uint64)
 
-    def runs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, first window, last window) of each run whose anchor is among the ordered keys."""
-        _, low, ok = self.minima()
-        low = mixed(low) & ~np.uint64(1)
-        ok = ok & member(low, keys) if len(ok) else ok
-        if not ok.any():
-            return np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64),) * 2
-        row = self.row[: len(low)]
-        new = np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]]
-        first = np.flatnonzero(new & ok)
-        last = np.flatnonzero(np.r_[new[1:] | ~ok[1:], True] & ok)
-        return low[first], first, last
-
-
-def refine(text: np.ndarray, remain: np.ndarray, depth: int, q: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement to a depth: (suffixes in buckets of more than one, bucket pointer of each), suffixes with fewer bytes before their segment's end than depth left out."""
-    at = np.flatnonzero(remain >= q).astype(np.int32)
-    wide = np.zeros(max(0, len(text) - q + 1), dtype=np.uint64)
-    for k in range(q):
-        wide |= text[k : k + len(wide)].astype(np.uint64) << np.uint64(8 * (q - 1 - k))
-    pointer = np.full(len(text), -1, dtype=np.int32)
-
-    def sort(at: np.ndarray, key: np.ndarray, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key)
-        at, key = at[order], key[order]
-        edge = (np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0)).astype(np.int32)
-        size = np.diff(np.r_[edge, np.int32(len(key))])
-        # a bucket's pointer is the place of its first suffix; a refined bucket stays inside the one it came from
-        place = np.repeat(edge, size)
-        if base is not None:
-            old = base[order]
-            begin = np.flatnonzero(np.r_[True, old[1:] != old[:-1]]) if len(old) else edge
-            place = old + place - np.repeat(begin.astype(np.int32), np.diff(np.r_[begin, len(old)]))
-        pointer[at] = place
-        return at, np.repeat(size > 1, size)
-
-    at, many = sort(at, wide[at], None)
-    del wide
-    have = q
-    while have < depth:
-        step = min(have, depth - have)
-        at = at[many]
-        at = at[remain[at] >= have + step]
-        old = pointer[at]
-        at, many = sort(at, (old.astype(np.uint64) << np.uint64(32)) | pointer[at + step].astype(np.uint64), old)
-        have += step
-    at = at[many]
-    return at, pointer[at]
-
-
-def _repeats(table, window: int):
+    def runs(self, keys: np.ndarray) -> Runs:
+        key, ok = chosen(mixed(self.minima()[1]) & ~np.uint64(1), self.ok, keys, lambda: mixed(self.minima(_SECOND)[1]))
+        a, b = spans(key, self.row, ok)
+        row = self.row[a]
+        return Runs(key[a], row, self.ids[row], a - self.begin[row], a, b + self.window, self.body)
+
+
+def refine(text: np.ndarray, depth: int, q: int = 8, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket-pointer refinement: (suffixes in order, the bucket pointer of each place of text, 8-grams). Suffixes with one pointer share at least depth bytes, or are one.
+
+    A pointer is the place of the bucket's first suffix in the order; have[p] tells how many bytes the suffixes of p's bucket
+    are known to share. Beyond the text all suffixes are one that comes first."""
+    n = len(text)
+    body = np.r_[text, np.zeros(q, dtype=np.uint8)]
+    grams = np.ndarray((n,), dtype=">u8", buffer=body, strides=(1,)).astype(np.uint64) if n else np.zeros(0, dtype=np.uint64)
+    pointer, have = np.full(n + depth, -1, dtype=np.int64), np.full(n + depth, depth, dtype=np.int16)
+    order = np.argsort(grams)
+    edge = edges(grams[order])
+    size = np.diff(np.r_[edge, n])
+    pointer[order] = np.repeat(edge, size)
+    have[:n] = q
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    own = np.repeat(edge, size)[open_]
+    cuts = edges(own)  # buckets, dealt to blocks in their order
+    cuts = cuts[np.flatnonzero(np.diff(np.r_[-1, cuts // block]))] if len(cuts) else cuts
+    for f, t in zip(cuts, np.r_[cuts[1:], len(open_)].astype(int)):
+        live = open_[f:t]
+        while len(live):
+            at = order[live]
+            to = at + have[at]
+            key, deep = (pointer[at].astype(np.uint64) << np.uint64(32)) | (pointer[to] + 1).astype(np.uint64), have[at] + have[to]
+            by = np.argsort(key)
+            at, deep, edge = at[by], deep[by], edges(key[by])
+            size = np.diff(np.r_[edge, len(at)])
+            order[live], pointer[at], have[at] = at, np.repeat(live[edge], size), deep
+            live = live[np.repeat(size > 1, size) & (deep < depth)]
+    return order, pointer[:n], grams
+
+
+def repeats(text: np.ndarray, remain: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, number of the window that begins there, in any order) of windows that begin at more than one place; remain: bytes of the segment from each place on."""
+    order, pointer, grams = refine(text, window)
+    at = order[remain[order] >= window]
+    if not len(at):
+        return at, at
+    same = pointer[at[1:]] == pointer[at[:-1]]
+    look = np.flatnonzero(~same)  # refined apart, maybe by bytes beyond the window
+    for k in [*range(0, window - 7, 8), window - 8]:
+        look = look[grams[at[look + 1] + k] == grams[at[look] + k]]
+    same[look] = True
+    number = np.cumsum(np.r_[True, ~same])
+    many = np.r_[same, False] | np.r_[False, same]
+    return at[many], number[many]
+
+
+def _late(table, window: int):
     """Of one bucket: for each chunk, the windows (row, first, last) that also start earlier."""
-    import pyarrow as pa
-
-    blobs = []
-    where: dict[bytes, int] = {}
-    parts, own, start = [], [], []
-    for chunk, body, size, ids, rows, starts, of in zip(*(table.column(c).to_pylist() for c in ("chunk", "body", "size", "ids", "rows", "starts", "segment"))):
-        size, ids = np.frombuffer(size, dtype=np.uint32).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
-        rows, starts, of = (np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in (rows, starts, of))
-        ends = np.cumsum(size)
-        number = np.empty(len(size), dtype=np.int64)
-        for k, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist())):
-            number[k] = n = where.setdefault(x := body[a:b], len(where))
-            if n == len(parts):
-                parts.append(x)
-        of = number[of]
-        blobs.append((chunk, rows, starts, ids, of))
-        own.append(np.stack([ids, starts, of]))
-    every = np.concatenate(own, axis=1)
+    texts, places = opened(table)
+    every = np.concatenate([np.stack([p.id, p.start, p.of]) for p in places], axis=1)
     every = every[:, np.lexsort((every[1], every[0], every[2]))]
-    least = every[:, np.r_[True, every[2, 1:] != every[2, :-1]]]  # each distinct run's earliest place
-    size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    least = every[:, edges(every[2])]  # each distinct run's earliest place
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(size)
-    text = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    at, bucket = refine(text, (np.repeat(ends, size) - np.arange(len(text))).astype(np.int32), window)
+    body = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    at, number = repeats(body, np.repeat(ends, size) - np.arange(len(body)), window)
     of = np.searchsorted(ends, at, side="right")
     ids, begin = least[0][of], least[1][of] + at - (ends - size)[of]
-    order = np.lexsort((begin, ids, bucket))
-    bucket, ids, begin, at = bucket[order], ids[order], begin[order], at[order]
-    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1] if len(bucket) else np.zeros(0, dtype=np.int64)
-    late = np.zeros(len(text) + 1, dtype=bool)
+    order = np.lexsort((begin, ids, number))
+    number, ids, begin, at = number[order], ids[order], begin[order], at[order]
+    edge = edges(number)
+    head = np.repeat(edge, np.diff(np.r_[edge, len(number)]))
+    late = np.zeros(len(body) + 1, dtype=bool)
     late[at[(ids > ids[head]) | (begin > begin[head])]] = True
     # spans of late windows in each distinct run, for its earliest place; any later place loses all its windows
     late[ends - 1] = False  # no window starts at a run's last byte
@@ -141,56 +135,26 @@ def _repeats(table, window: int):
     a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
     of = np.searchsorted(ends, a, side="right")
     a, b = a - (ends - size)[of], b - (ends - size)[of]
-    lower = np.searchsorted(of, np.arange(len(parts)))
-    count = np.searchsorted(of, np.arange(len(parts)), side="right") - lower
-    out = {"chunk": [], "rows": [], "first": [], "last": []}
-    for chunk, rows, starts, ids, of in blobs:
-        later = (ids > least[0][of]) | (starts > least[1][of])
-        n = np.where(later, 0, count[of])
-        pick = np.repeat(lower[of] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        r = np.r_[rows[later], np.repeat(rows, n)]
-        if len(r):
-            out["chunk"].append(chunk)
-            out["rows"].append(r.astype(np.uint32).tobytes())
-            out["first"].append(np.r_[starts[later], np.repeat(starts, n) + a[pick]].astype(np.uint32).tobytes())
-            out["last"].append(np.r_[starts[later] + size[of][later] - window, np.repeat(starts, n) + b[pick]].astype(np.uint32).tobytes())
-    return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("rows", pa.binary()), ("first", pa.binary()), ("last", pa.binary())]))
-
-
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 32, chunk_bytes: int = 2 << 20, bucket_bytes: int = 3 << 19) -> DataFrame:
+    lower = np.searchsorted(of, np.arange(len(texts)))
+    count = np.searchsorted(of, np.arange(len(texts)), side="right") - lower
+    out = []
+    for p in places:
+        later = (p.id > least[0][p.of]) | (p.start > least[1][p.of])
+        first = np.flatnonzero(~later)
+        place, one = expanded(p.of[first], lower, count)
+        place = first[place]
+        out.append((p.chunk, np.r_[p.row[later], p.row[place]], np.r_[p.start[later], p.start[place] + a[one]], np.r_[p.start[later] + size[p.of[later]] - window, p.start[place] + b[one]]))
+    return answered(out)
+
+
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 32, chunk_bytes: int = 2 << 20, bucket_bytes: int = 3 << 19, hot: int = HOT) -> DataFrame:
     """One row for each of docs: id, n_bytes, kept (the bytes that stay), spans (byte offsets from, to of what went, maximal)."""
     total = text_bytes(docs, text)
     buckets = pieces(total, bucket_bytes)
     chunks = chunked(docs, id, text, pieces(total, chunk_bytes))
-    anchors = recurring(chunks, lambda t: _Chunk(t, window, gram).named(), buckets)
-    fields = ("body", "size", "ids", "rows", "starts", "segment")
-
-    def segments(left, right):
-        """The distinct runs of a chunk by bucket, and the places of each."""
-        import pyarrow as pa
-
-        out = {k: [] for k in ("bucket", "chunk", *fields)}
-        if left.num_rows and right.num_rows:
-            c = _Chunk(left, window, gram)
-            keys, first, last = c.runs(joined(right, "keys") & ~np.uint64(1))
-            row = c.row[first] if len(first) else first
-            order = np.argsort(bucket_of(keys, buckets), kind="stable")
-            own = bucket_of(keys, buckets)[order]
-            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
-            body = c.body.tobytes()
-            for f, t in zip(cuts, np.r_[cuts[1:], len(own)].astype(int)):
-                of = order[f:t]
-                where: dict[bytes, int] = {}
-                number = [where.setdefault(body[a:b], len(where)) for a, b in zip(first[of].tolist(), (last[of] + window).tolist())]
-                out["bucket"].append(int(own[f]))
-                out["body"].append(b"".join(where))
-                out["size"].append(np.fromiter(map(len, where), dtype=np.uint32).tobytes())
-                out["ids"].append(c.ids[row[of]].tobytes())
-                out["rows"].append(row[of].astype(np.uint32).tobytes())
-                out["starts"].append((first[of] - c.begin[row[of]]).astype(np.uint32).tobytes())
-                out["segment"].append(np.array(number, dtype=np.uint32).tobytes())
-            out["chunk"] = [left.column("chunk")[0].as_py()] * len(out["bucket"])
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((k, pa.binary()) for k in fields)]))
+    anchors = recurring(chunks, lambda t: _Chunk(t, window, gram).named(), buckets, hot)
+    sent = met(chunks, anchors, lambda t, keys: _Chunk(t, window, gram).runs(keys), buckets)
+    late = sent.groupBy("bucket").applyInArrow(lambda t: _late(t, window), ANSWER)
 
     def remove(left, right):
         import pyarrow as pa
@@ -199,12 +163,7 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window
         if not left.num_rows:
             return schema.empty_table()
         c = _Chunk(left, window, gram)
-        marks = np.zeros(len(c.body) + 1, dtype=np.int32)
-        for rows, first, last in zip(*(right.column(k).to_pylist() for k in ("rows", "first", "last"))):
-            at = c.begin[np.frombuffer(rows, dtype=np.uint32)]
-            np.add.at(marks, at + np.frombuffer(first, dtype=np.uint32), 1)
-            np.add.at(marks, at + np.frombuffer(last, dtype=np.uint32) + window, -1)
-        gone = np.cumsum(marks)[:-1] > 0
+        gone = marked(right, c.begin, len(c.body), window)
         out = {"id": c.table.column("id"), "n_bytes": np.diff(c.begin), "kept": [], "spans": []}
         for a, b in zip(c.begin[:-1], c.begin[1:]):
             g = gone[a:b]
@@ -217,7 +176,5 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window
                 out["spans"].append([])
         return pa.table(out, schema=schema)
 
-    met = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(segments, "bucket int, chunk int, " + ", ".join(f"{k} binary" for k in fields))
-    late = met.groupBy("bucket").applyInArrow(lambda t: _repeats(t, window), "chunk int, rows binary, first binary, last binary")
     out = chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(remove, "id long, n_bytes long, kept binary, spans array<array<long>>")
     return out.withColumnRenamed("id", id)

@@ -1,11 +1,14 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm import phrase_dedup as phrase_dedup_module
 from quarry.llm.phrase_dedup import phrase_dedup
-from quarry.llm.suffix_dedup import suffix_dedup
+from quarry.llm.suffix_dedup import refine, repeats, suffix_dedup
 
 from .helpers import corpus, docs
 
@@ -51,7 +54,7 @@ def test_phrases(spark, seed, small):
     texts = corpus(seed)
     ids = [7 * i % len(texts) for i in range(len(texts))]
     ids[-1] = ids[-2]  # repeated identifiers
-    more = {"chunk_bytes": 900, "bucket_bytes": 700, "automaton_words": 50} if small else {}
+    more = {"chunk_bytes": 900, "bucket_bytes": 700, "automaton_phrases": 20, "hot": 3} if small else {}
     out = phrase_dedup(docs(spark, texts, ids), **more)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect())
     assert got == brute_phrases([(i, t or "") for i, t in zip(ids, texts)])
@@ -70,7 +73,7 @@ def test_phrases_null_identifier(spark):
 def test_suffixes(spark, seed, small):
     texts = corpus(seed)
     ids = [7 * i % len(texts) for i in range(len(texts))]
-    more = {"chunk_bytes": 900, "bucket_bytes": 700} if small else {}
+    more = {"chunk_bytes": 900, "bucket_bytes": 700, "hot": 3} if small else {}
     out = suffix_dedup(docs(spark, texts, ids), **more)
     got = sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in out.collect())
     assert got == brute_bytes([(i, t or "") for i, t in zip(ids, texts)])
@@ -108,3 +111,72 @@ def brute_fingerprint(t, n=3):
         return 0
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + n]).encode(), 42) for k in range(max(1, len(w) - n + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_phrases_are_told_apart_by_words(spark, monkeypatch):
+    """Where all windows have one hash, still only phrases that are equal word by word go."""
+    r = np.random.default_rng(5)
+    codes = r.integers(0, 3, 400)
+    at = np.arange(400 - 4)
+    want = {}
+    for number, i in zip(phrase_dedup_module.phrases_of(codes, at, 5), at):
+        want.setdefault(tuple(codes[i : i + 5]), set()).add(number)
+    assert all(len(x) == 1 for x in want.values()) and len(set.union(*want.values())) == len(want)
+    monkeypatch.setattr(phrase_dedup_module, "gram_hashes", lambda x, n, salt=0: np.zeros(max(0, len(x) - n + 1), dtype=np.uint64))
+    again = {}
+    for number, i in zip(phrase_dedup_module.phrases_of(codes, at, 5), at):
+        again.setdefault(tuple(codes[i : i + 5]), set()).add(number)
+    assert all(len(x) == 1 for x in again.values()) and len(set.union(*again.values())) == len(want)
+
+
+def test_automata_locate_every_occurrence():
+    codes = np.random.default_rng(6).integers(0, 4, 500)
+    codes[100:120] = 70_000 + np.arange(20) * 5000  # letters on both sides of the surrogates
+    phrases = np.array([3, 100, 107, 250])
+    place, which = phrase_dedup_module.located(codes, phrases, 13)
+    want = {(i, k) for i in range(488) for k, p in enumerate(phrases) if np.array_equal(codes[i : i + 13], codes[p : p + 13])}
+    assert set(zip(place.tolist(), which.tolist())) == want and {k for _, k in want} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("block", [1, 50, 1 << 16])
+def test_refinement_sorts_suffixes(block):
+    r = np.random.default_rng(block)
+    for letters, n in ((2, 600), (1, 300), (4, 900), (250, 500)):
+        text = np.r_[r.integers(0, letters, n), np.zeros(40, dtype=int)].astype(np.uint8)
+        text = np.r_[text, text[100:260], text[:90]]
+        body, depth = text.tobytes(), 40
+        order, pointer, _ = refine(text, depth, block=block)
+        inner = [i for i in order.tolist() if i + depth <= len(body)]
+        heads = [body[i : i + depth] for i in inner]
+        assert heads == sorted(heads) and sorted(order.tolist()) == list(range(len(body)))
+        for a, b in zip(inner, inner[1:]):
+            assert pointer[a] != pointer[b] or body[a : a + depth] == body[b : b + depth]
+        remain = len(body) - np.arange(len(body))
+        at, number = repeats(text, remain, depth)
+        want = {}
+        for i in range(len(body) - depth + 1):
+            want.setdefault(body[i : i + depth], []).append(i)
+        got = {}
+        for i, k in zip(at.tolist(), number.tolist()):
+            got.setdefault(k, []).append(i)
+        assert sorted(map(sorted, got.values())) == sorted(x for x in want.values() if len(x) > 1)
+
+
+def test_a_hot_passage_in_differing_surroundings(spark):
+    """One passage as long as an anchor in every document: its key is split, and nothing but real repeats goes."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    line = " ".join(["hot"] * 3 + ["passage", "of", "forty", "bytes", "or", "so"])
+    texts = [" ".join(r.choices(words, k=25)) + " " + line + " " + " ".join(r.choices(words, k=25)) for _ in range(60)]
+    texts += [t for t in texts[:6]] + ["long " + " ".join(r.choices(words, k=30_000)) + " " + texts[3]]
+    for hot in (64, 2):
+        out = phrase_dedup(docs(spark, texts), chunk_bytes=900, bucket_bytes=2000, hot=hot)
+        assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in out.collect()) == brute_phrases(list(enumerate(texts)))
+        out = suffix_dedup(docs(spark, texts), chunk_bytes=900, bucket_bytes=2000, hot=hot)
+        assert sorted((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), bytes(x.kept)) for x in out.collect()) == brute_bytes(list(enumerate(texts)))
+
+
+def test_exact_very_long_texts(spark):
+    long = "long text " * 200_000
+    got = {x.doc_id: (x.keep_id, x.group_size) for x in exact_dedup(docs(spark, [long, long + "x", long])).collect()}
+    assert got == {0: (2, 2), 1: (1, 1), 2: (2, 2)}
