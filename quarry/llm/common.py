@@ -19,6 +19,8 @@ NULL_ID = np.iinfo(np.int64).max
 #: ASCII white space, the complement of [^\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Links that one task joins up at most.
+LOCAL_LINKS = 2_000_000
 #: Tables in the shared folder, by application.
 _TABLES: dict[str, list[str]] = {}
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -164,13 +166,42 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of links (a, b), component the smallest node reachable: alternating large and small stars, each round cut off in the shared folder."""
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in order, the smallest node reachable from each) of links."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    root, a, b = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        ra, rb = root[a], root[b]
+        other = ra != rb
+        if not other.any():
+            return nodes, nodes[root]
+        a, b, ra, rb = a[other], b[other], ra[other], rb[other]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, component) of every node of links (a, b), component the smallest node reachable.
+
+    Up to local links (16 bytes each) are joined up in one task; more by alternating large and small stars, each round cut off in
+    the shared folder."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges, before = cut(edges), None
+
+    def at_once(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        every = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if every:
+            nodes, least = joined_up(np.concatenate([a for a, _ in every]), np.concatenate([b for _, b in every]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
+
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen[0] == 0 or seen == before:
+        if seen[0] <= local:
+            return edges.repartition(1).mapInArrow(at_once, "node long, component long")
+        if seen == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
         before = seen
         both = edges.union(edges.select("b", "a"))

@@ -19,6 +19,7 @@ very long texts count whole; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, components, cut, released, text_sizes, written
+from .common import blocks, components, cut, dealt, pieces, released, text_sizes, written
 
 _BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -36,7 +37,9 @@ _VALUE_BITS = 40
 #: Addresses with more table entries than this are split by the other segments.
 HOT = 4096
 #: Rounds in which texts are compared with one leader of those that share a segment value.
-LEADERS = 3
+LEADERS = 2
+#: Bytes of shingle sets in a block, and pairs in a bucket, about; blocks are no smaller than either asks.
+_SETS, _PAIRS = 2 << 20, 128
 
 
 def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> list[int]:
@@ -177,15 +180,41 @@ def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int
                 at = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(f, t - f), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["key", "hs"])
 
+    def verified(left, right):
+        """Of one bucket's pairs those that are similar; right: the sets of their texts."""
+        import pyarrow as pa
+
+        keys, at = right.column("key").to_numpy(), right.column("hs").combine_chunks()
+        order = np.argsort(keys)  # sets are in the order of unsigned hashes
+        hashes, ends = at.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))
+        sets = np.split(hashes, ends[:-1]) if len(keys) else []
+        left = left.sort_by("a")
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        i, j = (order[np.searchsorted(keys, x, sorter=order)] for x in (a, b))
+        keep = np.zeros(len(a), dtype=bool)
+        edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        for f, t in zip(edge, np.r_[edge[1:], len(i)]):
+            own, others = sets[i[f]], [sets[k] for k in j[f:t]]
+            size = np.array([len(x) for x in others])
+            every = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every if len(own) else np.zeros(len(every), dtype=bool)
+            same = np.diff(np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(size)]])
+            keep[f:t] = same * (100 + least) >= (len(own) + size) * least
+        return pa.table({"a": a[keep], "b": b[keep]})
+
     pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     own = _rows(docs, id, text).join(nodes, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     own = written(own.mapInArrow(sets, "key long, hs array<long>"), "shingle-sets")
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("hs").alias("ha")), "a").join(own.select(F.col("key").alias("b"), F.col("hs").alias("hb")), "b")
-    same = F.size(F.array_intersect("ha", "hb"))
-    return written(both.where(same * (100 + least) >= (F.size("ha") + F.size("hb")) * least).select("a", "b"), "links")
+    # texts are dealt to blocks, pairs to pairs of blocks: a set travels once to each bucket that needs it, and not with every pair
+    each = max(1, min(pieces(8 * (own.agg(F.sum(F.size("hs"))).first()[0] or 0), _SETS), math.isqrt(n // _PAIRS)))
+    ka, kb = dealt(F.col("a"), each), dealt(F.col("b"), each)
+    pairs = pairs.withColumn("bucket", F.least(ka, kb).cast("long") * each + F.greatest(ka, kb))
+    needed = pairs.select(F.col("bucket").alias("room"), F.explode(F.array("a", "b")).alias("key")).distinct().join(own, "key")
+    return written(pairs.groupBy("bucket").cogroup(needed.groupBy("room")).applyInArrow(verified, "a long, b long"), "links")
 
 
 def _led(nodes: DataFrame, distance: int, segments: int, may: Column, similar) -> DataFrame | None:

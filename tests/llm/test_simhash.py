@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quarry.llm import simhash
+from quarry.llm.common import components
 from quarry.llm.simhash import fingerprint, shingle_set, shingles, simhash_dedup
 
 from .helpers import corpus, docs
@@ -106,3 +107,23 @@ def test_recall_of_planted_near_copies(spark):
     want = [i + 1 for i in range(0, 120, 2) if 100 * len(own[i] & own[i + 1]) >= 80 * len(own[i] | own[i + 1])]
     got = {x.doc_id for x in simhash_dedup(docs(spark, texts)).collect() if x.doc_id != x.component_id}
     assert len(want) > 40 and got <= set(want) and len(got) >= 0.9 * len(want)
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    r = random.Random(10)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 430)] + [(-5, 7), (7, 7)]
+    root = {i: i for e in edges if e[0] != e[1] for i in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    links = spark.createDataFrame(edges, "a long, b long")
+    for local in (1000, -1):
+        assert {x.node: x.component for x in components(links, local).collect()} == {i: find(i) for i in root}
+        assert components(links.limit(0), local).count() == 0
