@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import snapped
+from .order import staged
 from .terms import unit_terms
 
 
 def initial_centers(ids: DataFrame, k: int, seed: int | None = None) -> DataFrame:
     """k existing documents (doc_id): by a fixed shuffle of identifiers, or at random by seed. Fewer documents than k are an error when collected by cluster()."""
-    order = [F.rand(seed)] if seed is not None else [F.pmod(F.col("doc_id") * 7919, F.lit(1000003)), F.col("doc_id")]
+    # the identifier is reduced first: its product could be too large for 64 bits
+    order = [F.rand(seed)] if seed is not None else [F.pmod(F.pmod("doc_id", F.lit(1000003)) * 7919, F.lit(1000003)), F.col("doc_id")]
     return ids.select("doc_id").orderBy(*order).limit(k)
 
 
@@ -49,7 +51,7 @@ def reselect(assignments: DataFrame, config: EngineConfig = EngineConfig()) -> D
 def cluster(ids: DataFrame, doc_terms: DataFrame, centers: list[int], config: EngineConfig = EngineConfig()) -> DataFrame:
     """Labels (doc_id, center_id, sim) of the last assignment after config.iterations rounds, fewer at a fixed point."""
     spark: SparkSession = ids.sparkSession
-    units = unit_terms(doc_terms).persist()
+    units = staged(unit_terms(doc_terms))
     now = sorted(set(centers))
     if not now:
         raise ValueError("no center to cluster around")

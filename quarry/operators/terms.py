@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.stem import porter_stem
+from ..functions.stem import english_stem, porter_stem
 from ..functions.text import truncated, without, words
 
 
@@ -26,10 +26,10 @@ def lemmatized(terms: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     return terms.join(lemmas, terms.stem == lemmas.word, "left").withColumn("stem", F.coalesce("lemma", "stem")).drop("word", "lemma")
 
 
-def stem_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(word, lemma): the Porter stem of each word that has another, to be used in place of a table of lemmas. Only the vocabulary reaches Python."""
+def stem_table(docs: DataFrame, config: EngineConfig = EngineConfig(), stemmer: str = "english") -> DataFrame:
+    """(word, lemma): the stem of each word that has another, to be used in place of a table of lemmas. stemmer: english or porter. Only the vocabulary reaches Python."""
     x = tokenized(docs, config).select(F.explode("tokens").alias("word")).distinct()
-    return x.withColumn("lemma", porter_stem("word")).where("word <> lemma")
+    return x.withColumn("lemma", {"english": english_stem, "porter": porter_stem}[stemmer]("word")).where("word <> lemma")
 
 
 def _runs(tokens: str) -> list[Column]:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import classify, cluster, terms
+from ..operators import classify, cluster, similarity, terms
+from ..operators.order import staged
 from ..sources import readers, writers
 
 log = logging.getLogger("quarry")
@@ -44,6 +45,19 @@ class Pipeline:
             self.terms.count()
         return self
 
+    def distance(self) -> Pipeline:
+        """similarities (doc_a, doc_b, sim) of all pairs that share a stem, in the shared folder."""
+        with self.timed("distance"):
+            self.similarities = staged(similarity.pairwise_cosine(self.terms, self.config))
+        return self
+
+    def save(self) -> None:
+        """Documents and inverse document frequencies, into their tables."""
+        writers.create_tables(self.spark)
+        title = F.col("title") if "title" in self.docs.columns else F.lit("")
+        writers.save_documents(self.docs.select("doc_id", F.coalesce(title, F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null"))
+        writers.save_idf(self.idf)
+
     def cluster(self) -> Pipeline:
         with self.timed("cluster"):
             ids = self.docs.select("doc_id")
@@ -77,21 +91,25 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--config", help="an INI file")
     parser.add_argument("--xml", default="", help="an XML dump")
     parser.add_argument("--table", default="", help="a Parquet folder or table with doc_id and text")
+    parser.add_argument("--log", default="", help="a file for the log, beside the console")
     parser.add_argument("--new", default="", help="a Parquet folder with new documents (doc_id, text)")
-    for flag in ("debug", "clean", "parse", "cluster", "classify", "svm"):
+    for flag in ("debug", "clean", "parse", "distance", "cluster", "classify", "svm"):
         parser.add_argument(f"--{flag}", action=argparse.BooleanOptionalAction)
     a = parser.parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO)
+    if a.log:
+        log.addHandler(logging.FileHandler(a.log))
     config = EngineConfig.from_ini(a.config) if a.config else EngineConfig()
     spark = SparkSession.builder.getOrCreate()
     if a.clean:
         writers.clean_tables(spark)
-    if not (a.parse or a.cluster or a.classify or a.svm):
+    if not (a.parse or a.distance or a.cluster or a.classify or a.svm):
         return
-    run = Pipeline(spark, config).parse(readers.read_table(spark, a.table) if a.table else readers.corpus_from_xml(spark, a.xml, config))
+    run = Pipeline(spark, config).parse(readers.corpus(spark, config, a.xml, a.table))
     if config.save_to_db:
-        writers.create_tables(spark)
-        writers.save_idf(run.idf)
+        run.save()
+    if a.distance:
+        run.distance()
     if a.cluster or a.classify or a.svm:
         run.cluster()
     if (a.classify or a.svm) and a.new:

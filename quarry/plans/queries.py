@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from pathlib import Path
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STOPWORDS, EngineConfig
 from ..functions import text as fn
 from ..operators import classify, cluster, metrics, mining, similarity, terms
+from ..operators.order import staged
 from ..sources import readers
 
 CONFIG = EngineConfig(centers=5, iterations=2, k=10)
@@ -55,10 +58,10 @@ def _labels(spark: SparkSession, sf_dir: str, doc_terms: DataFrame, iterations:
 
 def _near(spark: SparkSession, sf_dir: str, exclude_self: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(neighbours, labels, corpus terms, terms of the queries)."""
-    doc_terms = _terms(spark, sf_dir).persist()
-    labels = _labels(spark, sf_dir, doc_terms).persist()
+    doc_terms = staged(_terms(spark, sf_dir))
+    labels = staged(_labels(spark, sf_dir, doc_terms))
     asked = doc_terms.where(_asked())
-    return classify.neighbors(asked, doc_terms, labels, CONFIG, exclude_self).persist(), labels, doc_terms, asked
+    return staged(classify.neighbors(asked, doc_terms, labels, CONFIG, exclude_self)), labels, doc_terms, asked
 
 
 # --- SQL: blocks that queries share
@@ -143,7 +146,7 @@ def corpus_counters(spark, sf_dir):
     return _docs(spark, sf_dir).agg(F.max("doc_id").alias("largest_id"), F.count("*").alias("n_docs"), F.count_if(F.col("source") == "src0").alias("n_redirects"), (F.count("*") == 0).alias("is_empty"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0::BIGINT, 'April', 'April is the fourth month of the year.'), (2, 'Nothing', ''), (3, 'Template:Box', 'A box around text.'), (4, 'Marks', 'don''t_x & cafés')) x(doc_id, title, text)")
 def xml_scan(spark, sf_dir):
     """The sample dump that comes with the package."""
     return readers.corpus_from_xml(spark, Path(__file__).parent.parent.joinpath("sources", "sample.xml").as_uri())
@@ -185,7 +188,7 @@ def lemmatized_counts(spark, sf_dir):
 
 @query()
 def stemmed_counts(spark, sf_dir):
-    """Term counts by Porter stems."""
+    """Term counts by English stems."""
     docs = _docs(spark, sf_dir)
     return terms.term_counts(docs, CONFIG, terms.stem_table(docs, CONFIG)).select("doc_id", "stem", "cnt")
 
@@ -261,6 +264,17 @@ def pairwise_cosine(spark, sf_dir):
     return similarity.pairwise_cosine(_terms(spark, sf_dir), CONFIG)
 
 
+@query(
+    _with(
+        "SELECT x AS doc_a, y AS doc_b, sim FROM low UNION ALL SELECT y, x, sim FROM low UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM documents",
+        f"low AS (SELECT u.doc_id AS x, v.doc_id AS y, {_snap('sum(u.w * v.w)')} AS sim FROM unit u JOIN unit v USING (stem) WHERE u.doc_id > v.doc_id GROUP BY ALL)",
+    )
+)
+def similarity_matrix(spark, sf_dir):
+    """Both triangles and the diagonal, of pairs that share a stem."""
+    return similarity.similarity_matrix(_docs(spark, sf_dir), _terms(spark, sf_dir), CONFIG)
+
+
 @query(
     _with(
         "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, CASE WHEN a.doc_id = b.doc_id THEN 1.0 ELSE coalesce(sim, 0.0) END::DOUBLE AS sim FROM documents a JOIN documents b ON a.doc_id % 100 = 0 LEFT JOIN s ON s.x = a.doc_id AND s.y = b.doc_id",
@@ -331,6 +345,18 @@ def cluster_sizes(spark, sf_dir):
     return cluster.sizes(_labels(spark, sf_dir, _terms(spark, sf_dir)))
 
 
+@query(
+    _with(
+        """SELECT center_id, count(*) AS size, round(avg(sim), 6) AS avg_sim, array_to_string(list_sort(list(doc_id) FILTER (r <= 3)), ' ') AS farthest
+        FROM (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY sim, doc_id) AS r FROM a2) GROUP BY center_id""",
+        *_CLUSTERED,
+    )
+)
+def cluster_descriptions(spark, sf_dir):
+    x = cluster.described(_labels(spark, sf_dir, _terms(spark, sf_dir)))
+    return x.select("center_id", "size", _r("avg_sim"), F.array_join("farthest", " ").alias("farthest"))
+
+
 # --- classification
 
 
@@ -381,6 +407,66 @@ def label_report(spark, sf_dir):
     return classify.report(classify.knn_label(near), svm, labels, titles)
 
 
+@query(_with("SELECT new_id, 'doc_' || a2.doc_id AS title FROM voted_best JOIN a2 ON a2.center_id = knn_class", *_KNN, _VOTED, "voted_best AS (SELECT new_id, class AS knn_class FROM voted QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY votes DESC, first_rank) = 1)"))
+def label_titles(spark, sf_dir):
+    """The titles of all documents that share a new document's label."""
+    near, labels, *_ = _near(spark, sf_dir)
+    titles = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"))
+    return classify.shared_titles(classify.knn_label(near).select("new_id", F.col("knn_class").alias("center_id")), labels, titles)
+
+
+def _machines(spark: SparkSession, sf_dir: str, kernel: str) -> DataFrame:
+    """(vec_id, svm_class): one machine for each pair of labels of embeddings, whose components are its stems."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and label is not null and embedding is not null")
+    cells = rows.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("stem", "w")).select("doc_id", F.col("stem").cast("string").alias("stem"), F.col("w").cast("double").alias("tf_idf"))
+    labels = rows.where(~_asked("vec_id")).select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("center_id"))
+    voted = rows.where(_asked("vec_id")).select(F.col("vec_id").alias("new_id")).crossJoin(F.broadcast(labels.select(F.col("center_id").alias("class")).distinct())).withColumn("votes", F.lit(0))
+    taught, asked = cells.where(~_asked()), cells.where(_asked())
+    votes = classify.svm_votes(classify.class_pairs(voted), labels, taught, asked, replace(CONFIG, kernel=kernel))
+    return classify.svm_label(votes, voted).select(F.col("new_id").alias("vec_id"), "svm_class")
+
+
+@query()
+def svm_rbf(spark, sf_dir):
+    return _machines(spark, sf_dir, "rbf")
+
+
+@query()
+def svm_poly(spark, sf_dir):
+    return _machines(spark, sf_dir, "poly")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to learn from, stated rows) with features and label."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and label is not null and embedding is not null")
+    rows = rows.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return rows.where(~_asked("vec_id")), rows.where(_asked("vec_id"))
+
+
+def _predicted(x: DataFrame) -> DataFrame:
+    return x.select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query()
+def hierarchical_clusters(spark, sf_dir):
+    return _predicted(mining.hierarchical(_vectors(spark, sf_dir)[0], 10))
+
+
+@query()
+def one_vs_rest_labels(spark, sf_dir):
+    return _predicted(mining.one_vs_rest_svm(*_vectors(spark, sf_dir)))
+
+
+@query()
+def naive_bayes_labels(spark, sf_dir):
+    return _predicted(mining.naive_bayes(*_vectors(spark, sf_dir)))
+
+
+@query()
+def perceptron_labels(spark, sf_dir):
+    return _predicted(mining.perceptron(*_vectors(spark, sf_dir), layers=[64, 16, 10]))
+
+
 @query(
     """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)
     SELECT a.vec_id AS new_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 6) DESC, b.vec_id) AS rank, b.vec_id AS doc_id, round(list_inner_product(a.v, b.v), 6) AS sim, CAST(b.label AS BIGINT) AS class
@@ -432,7 +518,15 @@ def mutual_information(spark, sf_dir):
     return metrics.mutual_information(_docs(spark, sf_dir), "lang", "source")
 
 
-@query()
+@query(
+    """WITH RECURSIVE """ + _BASE + """,
+    f AS (SELECT i, list(doc_id) AS tids FROM (SELECT doc_id, unnest(list_distinct(ts)) AS i FROM wc) GROUP BY i HAVING count(*) >= 0.2 * (SELECT count(*) FROM documents)),
+    s AS (
+        SELECT [i] AS items, tids, len(tids) AS n FROM f
+        UNION ALL SELECT items, tids, len(tids) FROM (SELECT list_append(s.items, f.i) AS items, list_intersect(s.tids, f.tids) AS tids FROM s JOIN f ON f.i > s.items[len(s.items)]) WHERE len(tids) >= 0.2 * (SELECT count(*) FROM documents)),
+    r AS (SELECT list_filter(items, lambda x: x <> c) AS a, c, n FROM (SELECT items, n, unnest(items) AS c FROM s WHERE len(items) > 1))
+    SELECT array_to_string(a, ' ') AS antecedent, c AS consequent, round(r.n / s.n::DOUBLE, 6) AS confidence, round(r.n / (SELECT count(*) FROM documents)::DOUBLE, 6) AS support FROM r JOIN s ON s.items = r.a WHERE r.n / s.n::DOUBLE >= 0.5"""
+)
 def association_rules(spark, sf_dir):
     baskets = terms.tokenized(_docs(spark, sf_dir), CONFIG).select(F.array_distinct("tokens").alias("items"))
     out = mining.association_rules(baskets, "items", support=0.2, confidence=0.5)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import order as order_by
 
-PAGE = "title string, redirect struct<_title: string>, revision struct<text: string>"
+#: A page may hold several revisions: the first is its text.
+PAGE = "title string, redirect struct<_title: string>, revision array<struct<text: string>>"
 
 
 def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
     """(title, redirect_title, content, and where each page stands) of the pages of a dump; compressed dumps too."""
     x = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
     at = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return x.select("title", F.col("redirect._title").alias("redirect_title"), F.coalesce("revision.text", F.lit("")).alias("content"), *at).withColumn("_row", F.monotonically_increasing_id())
+    return x.select("title", F.col("redirect._title").alias("redirect_title"), F.coalesce(F.get("revision", F.lit(0))["text"], F.lit("")).alias("content"), *at).withColumn("_row", F.monotonically_increasing_id())
 
 
 def numbered(items: DataFrame, order: list[str], out: str = "doc_id") -> DataFrame:
@@ -52,4 +53,5 @@ def id_range(docs: DataFrame, start: int, number: int, id: str = "doc_id") -> Da
 
 
 def corpus(spark: SparkSession, config: EngineConfig, xml: str = "", table: str = "", **options: str) -> DataFrame:
-    return read_table(spark, table, **options) if config.load_from_db else corpus_from_xml(spark, xml, config)
+    """Documents from a table if the configuration says so or no dump is given, else from the dump."""
+    return read_table(spark, table or "page", **options) if config.load_from_db or not xml else corpus_from_xml(spark, xml, config)

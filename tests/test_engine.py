@@ -116,16 +116,61 @@ def test_pipeline_end_to_end(spark, tmp_path):
         Pipeline(spark, EngineConfig(centers=99)).parse(corpus(spark)).cluster()
 
 
-def test_large_pairs_train_on_the_cluster(spark, monkeypatch):
-    monkeypatch.setattr(classify, "LOCAL_DOCS", 0)
-    texts = ["sun sky moon", "sun moon", "cat dog", "dog cow cat"] * 3
+def test_large_and_small_pairs_have_the_same_machine(spark):
+    r = random.Random(6)
+    words = [[f"{t}{i}" for i in range(12)] for t in "abc"]
+    texts = [" ".join(r.choices(words[i % 3], k=9) + r.choices(words[r.randrange(3)], k=3)) for i in range(60)] + [""]
     docs = corpus(spark, texts)
     config = EngineConfig(stopwords=STOP)
     doc_terms = terms.tfidf(docs, config)
-    labels = spark.createDataFrame([(i, 0 if i % 4 < 2 else 2) for i in range(12)], "doc_id long, center_id long")
-    pairs = spark.createDataFrame([(0, 0, 2), (2, 0, 2)], "new_id long, class1 long, class2 long")
-    asked = doc_terms.where("doc_id in (0, 2)")
-    assert {(r.new_id, r.winner) for r in classify.svm_votes(pairs, labels, doc_terms, asked, config).collect()} == {(0, 0), (2, 2)}
+    labels = spark.createDataFrame([(i, i % 3 if i < 60 else 0) for i in range(61)], "doc_id long, center_id long")
+    pairs = spark.createDataFrame([(i, a, b) for i in (*range(100, 130), 130) for a, b in ((0, 1), (0, 2), (1, 2))], "new_id long, class1 long, class2 long")
+    new = spark.createDataFrame([(100 + i, " ".join(r.choices(words[i % 3], k=5) + r.choices(words[(i + 1) % 3], k=2) + ["unknown"])) for i in range(30)] + [(130, "")], "doc_id long, text string")
+    asked = terms.tfidf(new, config)
+    got = [{(x.new_id, x.class1, x.class2): x.winner for x in classify.svm_votes(pairs, labels, doc_terms, asked, config, local_docs=n).collect()} for n in (3000, 0)]
+    assert len(got[0]) == 93 and sum(got[0][k] != got[1][k] for k in got[0]) <= 1  # but for one on the border
+    assert all(got[0][100 + i, *sorted((i % 3, (i + 1) % 3))] == i % 3 for i in range(30))
+    with pytest.raises(ValueError):
+        classify.svm_votes(pairs, labels, doc_terms, asked, EngineConfig(kernel="rbf"), local_docs=10)
+
+
+@pytest.mark.parametrize("kind", ["linear", "rbf", "poly"])
+def test_machines_decide_as_their_kernels_say(spark, kind):
+    r = random.Random(7)
+    texts = [" ".join(r.choices("abcdefgh" if i % 2 else "efghijkl", k=6)) for i in range(30)]
+    config = EngineConfig(stopwords=STOP, kernel=kind)
+    doc_terms = terms.tfidf(corpus(spark, texts), config)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, center_id long")
+    new = spark.createDataFrame([(100 + i, " ".join(r.choices("abcdefghijklm", k=4))) for i in range(20)] + [(120, "zz")], "doc_id long, text string")
+    asked = terms.tfidf(new, config)
+    own, ask, stems = {}, {}, {}
+    for rows, out in ((doc_terms, own), (asked, ask)):
+        for x in rows.collect():
+            out.setdefault(x.doc_id, {})[x.stem] = x.tf_idf
+    for v in own.values():
+        for s in v:
+            stems.setdefault(s, len(stems))
+    gamma = 1 / len(stems)
+
+    def k(a, b):
+        dot, square = sum(w * b.get(s, 0) for s, w in a.items()), lambda v: sum(w * w for w in v.values())
+        return {"linear": dot, "rbf": math.exp(-gamma * (square(a) + square(b) - 2 * dot)), "poly": (gamma * dot) ** 3}[kind]
+
+    ids = sorted(own)
+    ay, bias = classify.train_svm(np.array([[k(own[i], own[j]) for j in ids] for i in ids]), np.array([1.0 if i % 2 == 0 else -1.0 for i in ids]), 1.0)
+    said = {i: sum(a * k(own[j], v) for a, j in zip(ay, ids)) + bias for i, v in ask.items()}
+    got = {x.new_id: x.winner for x in classify.svm_votes(spark.createDataFrame([(i, 0, 1) for i in ask], "new_id long, class1 long, class2 long"), labels, doc_terms, asked, config).collect()}
+    assert len(got) == 21 and all(got[i] == (0 if s >= 0 else 1) for i, s in said.items() if abs(s) > 1e-6)
+
+
+def test_large_identifiers_and_odd_vectors(spark):
+    ids = spark.createDataFrame([(1 << 62,), (-(1 << 62),), (3,)], "doc_id long")
+    assert cluster.initial_centers(ids, 2).count() == 2
+    rows = [(0, [1.0, 0.0], 1), (1, [0.0, 0.0], 1), (2, None, 1), (3, [1.0, None], 2), (4, [float("nan"), 1.0], 2), (5, [1.0, 1.0], 2), (100, [2.0, 0.0], 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(x.new_id, x.doc_id, x.sim) for x in classify.dense_neighbors(vectors, vectors, 2, block=2).orderBy("new_id", "rank").collect()]
+    assert got == [(0, 100, 1.0), (0, 5, 0.707107), (5, 0, 0.707107), (5, 100, 0.707107), (100, 0, 1.0), (100, 5, 0.707107)]
+    assert classify.dense_neighbors(vectors.limit(0), vectors, 2).count() == 0
 
 
 def test_xml_items(spark, tmp_path):
@@ -140,6 +185,60 @@ def test_xml_items(spark, tmp_path):
     assert readers.limited(items, 2).count() == 2 and readers.limited(items, None).count() == 50
 
 
+def test_a_page_of_several_revisions_has_the_first(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<m><page><title>T</title><revision><text>one</text></revision><revision><text>two</text></revision></page><page><title>N</title></page></m>")
+    got = {r.title: r.text for r in readers.corpus_from_xml(spark, str(tmp_path / "a.xml")).collect()}
+    assert got == {"T": "one", "N": ""}
+
+
+def test_jdbc(spark):
+    url = {"url": "jdbc:derby:memory:quarry;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    corpus(spark).write.format("jdbc").options(dbtable="page_rows", **url).save()
+    got = readers.read_table(spark, "page_rows", **url)
+    assert sorted((r[0], r[1]) for r in got.collect()) == list(enumerate(TEXTS))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.plans import pipeline
+
+    docs = corpus(spark, TEXTS + [None]).withColumn("title", F.concat(F.lit("t"), "doc_id"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    corpus(spark, ["bright sun"]).write.parquet(str(tmp_path / "new"))
+    (tmp_path / "a.conf").write_text("[db]\nsave_to_db = yes\nload_from_db = yes\n[clusterization]\ncenters = 2\n[classification]\nk = 2\n")
+    try:
+        pipeline.main(["--config", str(tmp_path / "a.conf"), "--table", str(tmp_path / "docs"), "--new", str(tmp_path / "new"), "--log", str(tmp_path / "log"), "--parse", "--distance", "--cluster", "--classify", "--svm"])
+        shown = capsys.readouterr().out
+        assert all(f"|{stage}" in shown for stage in ("parse", "distance", "cluster", "classify", "classify_svm"))
+        assert {(r.doc_id, r.title, r.text) for r in spark.table("page").collect()} == {(i, f"t{i}", t or "") for i, t in enumerate([*TEXTS, None])}
+        assert spark.table("token").count() > 3 and "distance took" in (tmp_path / "log").read_text()
+        pipeline.main(["--clean"])
+        assert spark.table("page").count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS page")
+        spark.sql("DROP TABLE IF EXISTS token")
+
+
+def test_titles_and_descriptions(spark):
+    labels = spark.createDataFrame([(0, 0, 1.0), (1, 0, 0.5), (2, 2, 1.0), (3, 0, 0.2)], "doc_id long, center_id long, sim double")
+    titles = labels.select("doc_id", F.concat(F.lit("t"), "doc_id").alias("title"))
+    given = spark.createDataFrame([(9, 0), (8, 2)], "new_id long, center_id long")
+    assert sorted((r.new_id, r.title) for r in classify.shared_titles(given, labels, titles).collect()) == [(8, "t2"), (9, "t0"), (9, "t1"), (9, "t3")]
+    assert sorted((r.center_id, r.title) for r in classify.member_titles(labels, titles, given).collect()) == [(0, "t0"), (0, "t1"), (0, "t3"), (2, "t2")]
+    assert {r.center_id: r.farthest for r in cluster.described(labels).collect()} == {0: [0, 1, 3], 2: [2]}
+
+
+def test_models_of_the_library(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    r = np.random.default_rng(3)
+    rows = [(i, float(i % 2), list(map(float, r.standard_normal(4) + 4 * (i % 2)))) for i in range(60)]
+    x = spark.createDataFrame(rows, "vec_id long, label double, v array<double>").withColumn("features", array_to_vector("v"))
+    train, test = x.where("vec_id < 40"), x.where("vec_id >= 40")
+    for out in (mining.one_vs_rest_svm(train, test), mining.naive_bayes(train, test), mining.perceptron(train, test, [4, 5, 2])):
+        assert out.where("prediction = label").count() >= 19
+    assert mining.hierarchical(x, 2).select("prediction").distinct().count() == 2
+
+
 def test_tables(spark):
     writers.create_tables(spark)
     writers.clean_tables(spark)
@@ -232,4 +331,4 @@ def test_documents_without_terms_are_classified(spark):
     out = {x.new_id: x for x in run.classify(new).collect()}
     assert set(out) == {100, 101, 102, 103}
     assert all(out[i].knn_class == max(first, key=lambda c: (first.count(c), -first.index(c))) and out[i].svm_class in first for i in (101, 102, 103))
-    assert classify.hashed(run.terms, ids=new.select("doc_id")).count() == 4
+    assert classify.features(run.terms, run.terms, new.select("doc_id"))[1].count() == 4

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.config import EngineConfig
-from quarry.functions.stem import porter
+from quarry.functions.stem import english, porter
 from quarry.operators import metrics, order, terms
 from quarry.sources import readers
 
@@ -55,3 +55,13 @@ def test_stems_take_the_place_of_lemmas(spark):
     docs = spark.createDataFrame([(0, "running runs run"), (1, None), (2, "")], "doc_id long, text string")
     got = terms.term_counts(docs, EngineConfig(stopwords=()), terms.stem_table(docs, EngineConfig(stopwords=())))
     assert [(r.doc_id, r.stem, r.cnt) for r in got.collect()] == [(0, "run", 3)]
+
+
+def test_english():
+    pairs = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist
+    consistently consist consolation consol consolations consol consolatory consolatori consolidate consolid knack knack knackeries knackeri knavish knavish
+    kneaded knead kneeling kneel knightly knight knots knot cries cri ties tie by by say say generate generat generously generous communism communism
+    dying die skies sky news news hopping hop hoping hope falling fall fizzed fizz bed bed succeed succeed ugly ugli relational relat argument argument
+    happily happili rationally ration ability abil national nation gas gas this this kiwis kiwi luxuriated luxuri feudally feudal shed shed youth youth""".split()
+    assert [(w, english(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2]))
+    assert english("café") == "café" and english("x1y") == "x1y" and english("") == ""
