@@ -33,7 +33,7 @@ def blocks_of(dim: int, each: int) -> list[tuple[int, int]]:
 
 
 def _units(payload: list[bytes], dtype) -> np.ndarray:
-    x = np.stack([np.frombuffer(p, dtype=dtype) for p in payload]).astype(np.float64)
+    x = np.frombuffer(b"".join(payload), dtype=dtype).reshape(len(payload), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -46,13 +46,18 @@ def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
 
     def clean(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                x = np.array(v, dtype=np.float64) if v is not None and None not in v else np.zeros(0)
-                out.append(x.astype(dtype).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "payload"])
+            col = b.column(1)
+            values = col.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(dtype)
+            end = np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            begin = np.r_[0, end[:-1]]
+            odd, some = (np.r_[0, np.cumsum(x)] for x in (~np.isfinite(values), values != 0))
+            good = (odd[end] == odd[begin]) & (some[end] > some[begin])
+            at = pa.py_buffer((np.r_[0, end] * values.itemsize).astype(np.int32))
+            payload = pa.Array.from_buffers(pa.binary(), len(col), [None, at, pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.if_else(pa.array(good), payload, pa.scalar(None, pa.binary()))], ["id", "payload"])
 
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(clean, "id long, payload binary")
     own = cut(own)
