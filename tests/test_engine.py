@@ -232,7 +232,7 @@ def test_models_of_the_library(spark):
 
     r = np.random.default_rng(3)
     rows = [(i, float(i % 2), list(map(float, r.standard_normal(4) + 4 * (i % 2)))) for i in range(60)]
-    x = spark.createDataFrame(rows, "vec_id long, label double, v array<double>").withColumn("features", array_to_vector("v"))
+    x = spark.createDataFrame(rows, "vec_id long, label double, v array<double>").withColumn("features", array_to_vector("v")).coalesce(1)
     train, test = x.where("vec_id < 40"), x.where("vec_id >= 40")
     for out in (mining.one_vs_rest_svm(train, test), mining.naive_bayes(train, test), mining.perceptron(train, test, [4, 5, 2])):
         assert out.where("prediction = label").count() >= 19
