@@ -19,7 +19,6 @@ very long texts count whole; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, components, cut, dealt, pieces, released, text_sizes, written
+from .common import blocks, components, cut, pieces, released, text_sizes, written
 
 _BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -38,8 +37,8 @@ _VALUE_BITS = 40
 HOT = 4096
 #: Rounds in which texts are compared with one leader of those that share a segment value.
 LEADERS = 2
-#: Bytes of shingle sets in a block, and pairs in a bucket, about; blocks are no smaller than either asks.
-_SETS, _PAIRS = 2 << 20, 128
+#: Bytes of shingle sets in a block, about.
+_SETS = 4 << 20
 
 
 def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> list[int]:
@@ -184,6 +183,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int
         """Of one bucket's pairs those that are similar; right: the sets of their texts."""
         import pyarrow as pa
 
+        if not left.num_rows:
+            return left.select(["a", "b"])
         keys, at = right.column("key").to_numpy(), right.column("hs").combine_chunks()
         order = np.argsort(keys)  # sets are in the order of unsigned hashes
         hashes, ends = at.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))
@@ -203,18 +204,27 @@ def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int
         return pa.table({"a": a[keep], "b": b[keep]})
 
     pairs = written(pairs, "pairs")
-    n = pairs.count()
-    if not n:
+    if pairs.isEmpty():
         return pairs
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = _rows(docs, id, text).join(nodes, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    own = written(own.mapInArrow(sets, "key long, hs array<long>"), "shingle-sets")
-    # texts are dealt to blocks, pairs to pairs of blocks: a set travels once to each bucket that needs it, and not with every pair
-    each = max(1, min(pieces(8 * (own.agg(F.sum(F.size("hs"))).first()[0] or 0), _SETS), math.isqrt(n // _PAIRS)))
-    ka, kb = dealt(F.col("a"), each), dealt(F.col("b"), each)
-    pairs = pairs.withColumn("bucket", F.least(ka, kb).cast("long") * each + F.greatest(ka, kb))
-    needed = pairs.select(F.col("bucket").alias("room"), F.explode(F.array("a", "b")).alias("key")).distinct().join(own, "key")
-    return written(pairs.groupBy("bucket").cogroup(needed.groupBy("room")).applyInArrow(verified, "a long, b long"), "links")
+    # texts that any pairs connect form a group; a set travels to its group's bucket once, or if the group has several blocks, once for each
+    nodes = written(components(pairs), "groups").select(F.col("node").alias("key"), F.col("component").alias("group"))
+    own = _rows(docs, id, text).join(nodes.select("key"), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    own = written(own.mapInArrow(sets, "key long, hs array<long>").join(nodes, "key"), "shingle-sets")
+    size = F.sum(8 * F.size("hs"))
+    shared = pieces(own.agg(size).first()[0] or 0, _SETS)  # buckets of small groups
+    parts = own.groupBy("group").agg(F.ceil(size / _SETS).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
+    parts = written(nodes.join(parts, "group"), "parts")
+
+    def bucket(x: Column, y: Column) -> Column:
+        one = F.pmod(F.xxhash64("group"), F.lit(shared))
+        return F.when(F.col("parts") == 1, one).otherwise(F.xxhash64("group", F.least(x, y), F.greatest(x, y)))
+
+    mine = F.pmod(F.xxhash64("key"), F.col("parts"))
+    needed = own.join(parts.select("key", "parts"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    needed = needed.select(bucket(mine, F.col("other").cast("long")).alias("room"), "key", "hs")
+    met = pairs.join(parts.withColumnRenamed("key", "a"), "a")
+    met = met.select("a", "b", bucket(F.pmod(F.xxhash64("a"), F.col("parts")), F.pmod(F.xxhash64("b"), F.col("parts"))).alias("bucket"))
+    return written(met.groupBy("bucket").cogroup(needed.groupBy("room")).applyInArrow(verified, "a long, b long"), "links")
 
 
 def _led(nodes: DataFrame, distance: int, segments: int, may: Column, similar) -> DataFrame | None:
