@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, langid, mixing, phrase_dedup, quality_crf, sentencepiece_codec, simhash, suffix_dedup
+from . import alignment, chat, embedding_dedup, exact_dedup, langid, mixing, phrase_dedup, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup, whitening
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -77,4 +77,24 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_phrase_dedup, op2_quality_crf, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_embedding_dedup, op7_mixing, op8_simhash_dedup, op9_chat_format, op10_exact_dedup)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align_tokens(_read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law of bytes: shards of nearly equal sizes."""
+    out = sharding.shard_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_ALL = (
+    op1_phrase_dedup, op2_quality_crf, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_embedding_dedup, op7_mixing, op8_simhash_dedup, op9_chat_format, op10_exact_dedup,
+    op11_token_alignment, op12_embedding_whitening, op13_sharding,
+)
+QUERIES = {f.__name__: f for f in _ALL}
