@@ -7,9 +7,12 @@ those that look them up, the matches are fetched, and of every match the complet
 fingerprints share is split by exact pieces of the other segments, one more than the distance, of which close fingerprints
 share at least one; where the distance is too great for pieces of 8 bits, adaptive execution splits the join instead.
 
-With a similarity, a match within the distance is linked only if the Jaccard similarity of the whole shingle sets reaches it.
-Then texts that share a segment value are first compared with one leader of theirs, a few times over with different leaders, so
-that of a group of near copies only members are enumerated in pairs that no leader has linked.
+With a similarity, a match within the distance is linked only if the Jaccard similarity of the whole shingle sets reaches it. A
+fingerprint is too coarse to find all such pairs by its segments: the segment tables then serve a small distance only, and further
+tables hold bands, each of a few minima of the shingle set under different orders, which a similar pair shares with a known
+probability (at 0.8, all but 1 of 5,000 pairs share one of 12 bands of 3 minima). What no other text shares is dropped from the tables at once.
+Texts that share a table entry are first compared with one leader of theirs, a few times over with different leaders, those that share
+most with others first, so that of a group of near copies only members are enumerated in pairs that no leader has linked.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text with fewer words than a shingle is one shingle;
 a text without words, or null, has fingerprint zero and no shingles, and all such texts are similar; texts are told apart by
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, components, cut, pieces, released, text_sizes, written
+from .common import blocks, components, cut, mixed, pieces, released, text_sizes, written
 
 _BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -35,8 +38,14 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _VALUE_BITS = 40
 #: Addresses with more table entries than this are split by the other segments.
 HOT = 4096
-#: Rounds in which texts are compared with one leader of those that share a segment value.
-LEADERS = 2
+#: Rounds in which texts are compared with one leader of those that share a table entry.
+LEADERS = 4
+#: Bands of minima, and minima in a band.
+BANDS, MINIMA = 12, 3
+#: The distance that segment tables serve beside the bands.
+NEAR = 2
+_ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_JOIN = np.random.default_rng(12).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of shingle sets in a block, about.
 _SETS = 4 << 20
 
@@ -73,13 +82,23 @@ def fingerprint(hashes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """An address for each band of minima of a set of shingle hashes, none for an empty set: sets of similarity s share one with probability s ** MINIMA."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    low = np.full(len(_ORDERS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[k : k + 4096, None] * _ORDERS).min(axis=0))
+    return mixed((mixed(low).reshape(BANDS, MINIMA) * _JOIN).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _rows(docs: DataFrame, id: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     body = F.col(text).cast("string")
     return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key"), body.alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, repeats: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, key, fp, n, carried columns as own_...): key a hash of the text, fp as a signed long, n distinct shingles. repeats: whether a shingle counts as often as it occurs."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, repeats: bool = False, carry: Sequence[str] = (), banded: bool = False) -> DataFrame:
+    """(id, key, fp, n, bands, carried columns as own_...): key a hash of the text, fp as a signed long, n distinct shingles, bands empty unless banded. repeats: whether a shingle counts as often as it occurs."""
 
     @released
     def each(batches: Iterator) -> Iterator:
@@ -88,15 +107,18 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
         of = shingles if repeats else shingle_set
         for b in batches:
             texts = b.column(2).cast(pa.binary())
-            own, n = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+            own, n, found = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.int64), []
             for f, t in blocks(text_sizes(texts), _BLOCK):
                 for k, x in enumerate(texts.slice(f, t - f).to_pylist(), f):
                     hashes = of(x, shingle)
                     own[k], n[k] = fingerprint(hashes), len(set(hashes)) if repeats else len(hashes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.view(np.int64)), pa.array(n), *b.columns[3:]], names)
+                    found.append(bands(hashes) if banded else hashes[:0])
+            at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            listed = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.view(np.int64)), pa.array(n), listed, *b.columns[3:]], names)
 
     rows = _rows(docs, id, text, carry)
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), *rows.schema.fields[3:]])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *rows.schema.fields[3:]])
     names = schema.names
     return rows.mapInArrow(each, schema)
 
@@ -165,19 +187,37 @@ def matches(nodes: DataFrame, distance: int, segments: int, more: Column | None
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int, least: int) -> DataFrame:
-    """Of pairs (a, b) of text hashes, those whose shingle sets have a similarity of least percent or more."""
+class _Sets:
+    """The shingle sets of texts, by text hash, each computed once and kept in the shared folder."""
 
-    @released
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def __init__(self, docs: DataFrame, id: str, text: str, shingle: int):
+        self.docs, self.shingle, self.known = _rows(docs, id, text).select("key", "text"), shingle, None
 
-        for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            for f, t in blocks(text_sizes(texts), _BLOCK):
-                own = [shingle_set(x, shingle).view(np.int64) for x in texts.slice(f, t - f).to_pylist()]
-                at = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(f, t - f), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["key", "hs"])
+    def of(self, keys: DataFrame) -> DataFrame:
+        """(key, hs), of these keys (a column key) at least."""
+        shingle = self.shingle
+
+        @released
+        def sets(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                texts = b.column(1).cast(pa.binary())
+                for f, t in blocks(text_sizes(texts), _BLOCK):
+                    own = [shingle_set(x, shingle).view(np.int64) for x in texts.slice(f, t - f).to_pylist()]
+                    at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(f, t - f), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["key", "hs"])
+
+        new = keys if self.known is None else keys.join(self.known.select("key"), "key", "left_anti")
+        new = written(new, "keys")
+        if self.known is None or not new.isEmpty():
+            own = written(self.docs.join(new, "key", "left_semi").mapInArrow(sets, "key long, hs array<long>").dropDuplicates(["key"]), "shingle-sets")
+            self.known = own if self.known is None else self.known.union(own)
+        return self.known
+
+
+def _similar(pairs: DataFrame, sets: _Sets, least: int) -> DataFrame:
+    """Of pairs (a, b) of text hashes, those whose shingle sets have a similarity of least percent or more."""
 
     def verified(left, right):
         """Of one bucket's pairs those that are similar; right: the sets of their texts."""
@@ -208,8 +248,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int
         return pairs
     # texts that any pairs connect form a group; a set travels to its group's bucket once, or if the group has several blocks, once for each
     nodes = written(components(pairs), "groups").select(F.col("node").alias("key"), F.col("component").alias("group"))
-    own = _rows(docs, id, text).join(nodes.select("key"), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    own = written(own.mapInArrow(sets, "key long, hs array<long>").join(nodes, "key"), "shingle-sets")
+    own = written(sets.of(nodes.select("key")).join(nodes, "key"), "grouped-sets")
     size = F.sum(8 * F.size("hs"))
     shared = pieces(own.agg(size).first()[0] or 0, _SETS)  # buckets of small groups
     parts = own.groupBy("group").agg(F.ceil(size / _SETS).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
@@ -227,15 +266,30 @@ def _similar(pairs: DataFrame, docs: DataFrame, id: str, text: str, shingle: int
     return written(met.groupBy("bucket").cogroup(needed.groupBy("room")).applyInArrow(verified, "a long, b long"), "links")
 
 
-def _led(nodes: DataFrame, distance: int, segments: int, may: Column, similar) -> DataFrame | None:
-    """(node, component) by links to leaders alone; None without any link."""
-    widths = segments_of(63, segments)
-    entries = written(nodes.select("node", "fp", "n", F.explode(F.array(*(_value(o, w) + F.lit(k << _VALUE_BITS).cast("long") for k, (o, w, _) in enumerate(widths)))).alias("address")), "segments")
-    named = None
+def _shared(entries: DataFrame, by: str) -> DataFrame:
+    """The entries whose address is in the table under more than one value of a column."""
+    many = entries.groupBy("address").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("address")
+    return entries.join(many, "address", "left_semi")
+
+
+def _named(entries: DataFrame, named: DataFrame | None) -> DataFrame:
+    """Entries (address, node, fp, n, weight) with c, the component of their node."""
+    return entries.withColumn("c", F.col("node")) if named is None else entries.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _led(entries: DataFrame, close: Column, similar) -> DataFrame | None:
+    """(node, component) by links to leaders alone; None without any link. Each round, the leader of an address is the heaviest node outside the component that led before."""
+    named, before = None, None
     for turn in range(LEADERS):
-        now = entries.withColumn("c", F.col("node")) if named is None else entries.join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        lead = now.groupBy("address").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "fp", "n", "c")).alias("m")).where("lo < hi").select("address", "m.*").drop("h")
-        met = now.alias("a").join(lead.alias("b"), "address").where((F.col("a.c") != F.col("b.c")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance) & may)
+        now = _shared(_named(entries, named), "c")
+        if before is not None:
+            past = before.select("address", F.col("node").alias("past")).join(named.withColumnRenamed("node", "past"), "past", "left").select("address", F.coalesce("component", "past").alias("past"))
+            free = now.join(past, "address", "left").where("past is null or c <> past").drop("past")
+        else:
+            free = now
+        lead = free.groupBy("address").agg(F.max(F.struct("weight", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "fp", "n", "c")).alias("m")).select("address", "m.*").drop("h", "weight")
+        before = lead = written(lead, "leaders")
+        met = now.alias("a").join(lead.alias("b"), "address").where((F.col("a.c") != F.col("b.c")) & close)
         links = similar(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
         if links.isEmpty():
             break
@@ -244,25 +298,35 @@ def _led(nodes: DataFrame, distance: int, segments: int, may: Column, similar) -
 
 
 def simhash_dedup(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 11, segments: int = 4, similarity: int | None = 80, repeats: bool = False, carry: Sequence[str] = (), hot: int = HOT
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 22, segments: int = 2, similarity: int | None = 80, repeats: bool = False, carry: Sequence[str] = (), hot: int = HOT
 ) -> DataFrame:
     """One row for each of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable by links), and the columns carried.
 
-    A link: fingerprints that differ in distance bits or fewer and, unless similarity (percent) is None, shingle sets that are so similar."""
-    rows = cut(fingerprints(docs, id, text, shingle, repeats, carry).withColumn("node", F.col("fp" if similarity is None else "key")))
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    A link: fingerprints that differ in distance bits or fewer and, unless similarity (percent) is None, shingle sets that are so similar.
+    Without a similarity the segment tables serve the whole distance; with one they serve NEAR bits and bands the rest."""
+    rows = cut(fingerprints(docs, id, text, shingle, repeats, carry, banded=similarity is not None).withColumn("node", F.col("fp" if similarity is None else "key")))
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     if similarity is None:
-        links = matches(nodes.withColumn("c", F.col("node")), distance, segments, hot=hot)
+        links = matches(nodes.select("node", "fp", "n", F.col("node").alias("c")), distance, segments, hot=hot)
     else:
-        nodes = cut(nodes)
+        nodes, sets = cut(nodes), _Sets(docs, id, text, shingle)
         may = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * similarity
+        close = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance) & may
 
         def similar(pairs: DataFrame) -> DataFrame:
-            return _similar(pairs, docs, id, text, shingle, similarity)
-
-        led = _led(nodes, distance, segments, may, similar)
-        now = nodes.withColumn("c", F.col("node")) if led is None else nodes.join(led, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        links = similar(matches(now, distance, segments, may, hot))
+            return _similar(pairs, sets, similarity)
+
+        entries = written(_shared(nodes.select("node", "fp", "n", F.explode("bands").alias("address")), "node"), "entries")
+        # a node weighs as much as others share its addresses
+        weight = entries.join(entries.groupBy("address").agg(F.count("*").alias("many")), "address").groupBy("node").agg(F.sum("many").alias("weight"))
+        entries = written(entries.join(weight, "node"), "weighed")
+        sets.of(entries.select("node").distinct().withColumnRenamed("node", "key"))
+        led = _led(entries, close, similar)
+        now = _shared(_named(entries, led), "c")
+        met = now.alias("a").join(now.alias("b"), "address").where((F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & close)
+        met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        near = matches(_named(nodes.select("node", "fp", "n"), led), min(distance, NEAR), segments, may, hot)
+        links = similar(met.union(near).distinct())
         links = links if led is None else links.union(led.select(F.col("node").alias("a"), F.col("component").alias("b")))
     own = cut(rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = own.groupBy("component").agg(F.min("id").alias("component_id"))

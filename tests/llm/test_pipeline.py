@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, quality_crf, sentencepiece_codec
-from quarry.llm.simhash import fingerprint, shingle_set
+from quarry.llm.simhash import shingle_set
 
 from .helpers import corpus, docs
 from .test_simhash import edited, grouped
@@ -51,8 +51,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert step("exact_dedup") == sorted(last.values())  # of rows with one doc_id and text, too, one stays
     ids = seen[-1]
     own = [set(shingle_set((texts[i] or "").encode()).tolist()) for i in ids]
-    fps = [fingerprint(shingle_set((texts[i] or "").encode())) for i in ids]
-    first = grouped(len(ids), lambda i, j: 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]) and (fps[i] ^ fps[j]).bit_count() <= 11)
+    first = grouped(len(ids), lambda i, j: 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]))
     assert step("simhash_dedup") == sorted({ids[k] for k in first}) and len(seen[-1]) < len(ids) - 5
     times = {x.doc_id: round(x.taken / x.size) if x.size else 1 for x in mixing.mix(docs).collect()}
     assert step("mixing") == sorted(i for i, k in times.items() for _ in range(k))

@@ -1,5 +1,9 @@
+import math
 import random
+from collections import defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from quarry.llm import simhash
@@ -89,7 +93,7 @@ def test_similarity_against_brute_force(spark):
     def similar(i, j):
         return 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])
 
-    want = grouped(len(texts), lambda i, j: similar(i, j) and (fps[i] ^ fps[j]).bit_count() <= 11)
+    want = grouped(len(texts), lambda i, j: similar(i, j))
     assert len(set(want)) < len(texts) - 15
     got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash_dedup(docs(spark, texts)).collect()}
     assert got == {i: (f"{fps[i]:016x}", c) for i, c in enumerate(want)}
@@ -109,6 +113,36 @@ def test_recall_of_planted_near_copies(spark):
     assert len(want) > 40 and got <= set(want) and len(got) >= 0.9 * len(want)
 
 
+SF = Path("/root/testdata/sf0.1/documents.parquet")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
+def test_all_similar_pairs_of_the_given_table(spark):
+    """Every pair of different texts with a similarity of 0.8, found by prefixes of sets in the order of frequency, is linked."""
+    rows = {r.text or "": r.doc_id for r in spark.read.parquet(str(SF)).select("doc_id", "text").orderBy("doc_id").collect()}
+    texts, ids = list(rows), list(rows.values())
+    own = [shingle_set(t.encode()) for t in texts]
+    every, place, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    begin, met, pairs = np.cumsum([0, *map(len, own)]), defaultdict(list), set()
+    for k, x in enumerate(own):
+        at = place[begin[k] : begin[k + 1]]
+        for s in sorted(at.tolist(), key=lambda s: (times[s], s))[: len(x) - math.ceil(0.8 * len(x)) + 1]:
+            if times[s] > 1:
+                pairs |= {(i, k) for i in met[s]}
+                met[s].append(k)
+    similar = {(i, k) for i, k in pairs if 180 * len(np.intersect1d(own[i], own[k], assume_unique=True)) >= 80 * (len(own[i]) + len(own[k]))}
+    root = {i: i for i in range(len(texts))}
+    for i, k in sorted(similar):
+        a, b = root[i], root[k]
+        for j in [j for j in root if root[j] in (a, b)] if a != b else ():
+            root[j] = min(a, b)
+    least = {}
+    for j, r in root.items():
+        least[r] = min(ids[j], least.get(r, ids[j]))
+    got = {r.doc_id: r.component_id for r in simhash_dedup(docs(spark, texts, ids).repartition(4)).select("doc_id", "component_id").collect()}
+    assert len(similar) > 40 and got == {i: least[root[j]] for j, i in enumerate(ids)}
+
+
 def test_components_in_one_task_and_by_stars(spark):
     r = random.Random(10)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 430)] + [(-5, 7), (7, 7)]
