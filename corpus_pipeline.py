@@ -2,7 +2,9 @@
 
 Each stage takes all that its predecessor kept and returns the same columns; the last returns token ids. A row is known by its
 doc_id and a 64-bit hash of its text, so that rows which share a doc_id are told apart. Further columns of documents pass
-through, whatever their names; operators see doc_id, text, source and columns of the stage's own only.
+through, whatever their names; operators see doc_id, text, source and columns of the stage's own only. In every stage a null
+text is a text without words (of exact copies, equal to an empty one) whose ids are null, very long texts are read whole, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the rows with the smallest doc_id stay. Near copies: fingerprints over shingles of five words within 11 bits, and a similarity of 0.8 or more."""
+    """Of each group of near copies the rows with the smallest doc_id stay. Near copies: sets of shingles of five words with a similarity of 0.8 or more."""
     out = simhash.simhash_dedup(_keyed(docs), carry=["key"])
     gone = out.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "key").distinct()
     return _decided(docs, gone, "near-copies", "left_anti").select("doc.*")
