@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _BATCH = 1 << 18
 _LITERAL = "▁"
 #: Units that a worker remembers, about; a chunk's own come on top.
-MEMORY = 700_000
+MEMORY = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -238,7 +238,7 @@ class Units:
         return [b"".join(map(get, flat[f:t]))[:-1].decode() if ok else None for f, t, ok in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), self.good.tolist())]
 
 
-def align_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 8 << 20) -> DataFrame:
+def align_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row for each of docs: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups ("a1,a2|b1;a3|b2,b3", null without tokens)."""
     chunks = chunked(docs, id, text, pieces(text_bytes(docs, text), chunk_bytes))
 
