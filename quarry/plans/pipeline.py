@@ -96,9 +96,21 @@ def main(argv: list[str] | None = None) -> None:
     for flag in ("debug", "clean", "parse", "distance", "cluster", "classify", "svm"):
         parser.add_argument(f"--{flag}", action=argparse.BooleanOptionalAction)
     a = parser.parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO)
-    if a.log:
-        log.addHandler(logging.FileHandler(a.log))
+    logging.basicConfig()
+    before, to_file = log.level, logging.FileHandler(a.log) if a.log else None
+    log.setLevel(logging.DEBUG if a.debug else logging.INFO)  # whatever handlers the root logger has
+    if to_file:
+        log.addHandler(to_file)
+    try:
+        _run(a)
+    finally:
+        log.setLevel(before)
+        if to_file:
+            log.removeHandler(to_file)
+            to_file.close()
+
+
+def _run(a: argparse.Namespace) -> None:
     config = EngineConfig.from_ini(a.config) if a.config else EngineConfig()
     spark = SparkSession.builder.getOrCreate()
     if a.clean:

@@ -15,6 +15,7 @@ from quarry.plans.pipeline import Pipeline
 from quarry.sources import readers, writers
 
 STOP = ("the", "is", "in", "we", "can")
+#: The sentences of a published worked example.
 TEXTS = ["The sky is blue", "The sun is bright", "The sun in the sky is bright", "We can see the shining sun, the bright sun"]
 CONFIG = EngineConfig(stopwords=STOP, k=4, iterations=5)
 
@@ -93,8 +94,12 @@ def test_svm_machine_is_optimal():
         assert abs(ay.sum()) < 1e-9 and (a >= -1e-9).all() and (a <= 1 + 1e-9).all()
         assert (margin[a < 1e-9] > 1 - 5e-3).all() and (margin[a > 1 - 1e-9] < 1 + 5e-3).all()
         assert (margin > 0).mean() > 0.8
-    row, size, w = np.array([0, 2, 1, 2]), np.array([2, 2]), np.array([1.0, 2, 3, 4])
-    assert classify._products(row, size, w, 3, most=1).tolist() == [[1, 0, 2], [0, 9, 12], [2, 12, 20]]
+    rows = classify.Sparse([["p"], ["q"], ["p", "q"]], [[1.0], [3.0], [2.0, 4.0]])
+    want = np.array([[1.0, 0, 2], [0, 9, 12], [2, 12, 20]])
+    for kind in ("linear", "rbf", "poly"):
+        kernel = classify.Kernel(rows, kind, 0.5, most=1)  # keeps two rows
+        full = classify._kernel(want, np.diag(want), np.diag(want), kind, 0.5)
+        assert np.allclose([kernel[i] for i in (0, 1, 2, 0, 1, 2)], [*full, *full]) and np.allclose(kernel.diagonal(), np.diag(full)) and len(kernel.kept) == 2
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -116,22 +121,43 @@ def test_pipeline_end_to_end(spark, tmp_path):
         Pipeline(spark, EngineConfig(centers=99)).parse(corpus(spark)).cluster()
 
 
-def test_large_and_small_pairs_have_the_same_machine(spark):
+@pytest.mark.parametrize("kind", ["linear", "rbf", "poly"])
+def test_cascade_reaches_the_optimum_of_one_task(spark, kind):
+    """Pairs cut into many parts, with documents without terms, have the machine of a single part."""
     r = random.Random(6)
     words = [[f"{t}{i}" for i in range(12)] for t in "abc"]
     texts = [" ".join(r.choices(words[i % 3], k=9) + r.choices(words[r.randrange(3)], k=3)) for i in range(60)] + [""]
-    docs = corpus(spark, texts)
-    config = EngineConfig(stopwords=STOP)
-    doc_terms = terms.tfidf(docs, config)
+    config = EngineConfig(stopwords=STOP, kernel=kind)
+    doc_terms = terms.tfidf(corpus(spark, texts), config).persist()
     labels = spark.createDataFrame([(i, i % 3 if i < 60 else 0) for i in range(61)], "doc_id long, center_id long")
-    pairs = spark.createDataFrame([(i, a, b) for i in (*range(100, 130), 130) for a, b in ((0, 1), (0, 2), (1, 2))], "new_id long, class1 long, class2 long")
+    pairs = spark.createDataFrame([(i, a, b) for i in (*range(100, 130), 130) for a, b in ((0, 1), (0, 2), (1, 2), (0, 9))], "new_id long, class1 long, class2 long")
     new = spark.createDataFrame([(100 + i, " ".join(r.choices(words[i % 3], k=5) + r.choices(words[(i + 1) % 3], k=2) + ["unknown"])) for i in range(30)] + [(130, "")], "doc_id long, text string")
     asked = terms.tfidf(new, config)
-    got = [{(x.new_id, x.class1, x.class2): x.winner for x in classify.svm_votes(pairs, labels, doc_terms, asked, config, local_docs=n).collect()} for n in (3000, 0)]
+    pairs = pairs.where("class2 <> 9")
+    got = [{(x.new_id, x.class1, x.class2): x.winner for x in classify.svm_votes(pairs, labels, doc_terms, asked, config, gamma=0.5, part_docs=n).collect()} for n in (3000, 7)]
     assert len(got[0]) == 93 and sum(got[0][k] != got[1][k] for k in got[0]) <= 1  # but for one on the border
-    assert all(got[0][100 + i, *sorted((i % 3, (i + 1) % 3))] == i % 3 for i in range(30))
-    with pytest.raises(ValueError):
-        classify.svm_votes(pairs, labels, doc_terms, asked, EngineConfig(kernel="rbf"), local_docs=10)
+    assert all(got[1][100 + i, *sorted((i % 3, (i + 1) % 3))] == i % 3 for i in range(30))
+
+
+def test_cascade_leaves_no_violator(spark):
+    """The dual optimum of the cascade is that of the whole pair: equal value, no document inside its margin."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((150, 6)) + np.where(np.arange(150) % 2, 0.7, -0.7)[:, None]
+    y = np.where(np.arange(150) % 2, 1.0, -1.0)
+    stems = [str(k) for k in range(6)]
+    rows = spark.createDataFrame([(0, 1, i % 11, i, float(y[i]), 0.3, stems, x[i].tolist()) for i in range(150)], "class1 long, class2 long, part int, doc_id long, y double, gamma double, stems array<string>, weights array<double>")
+    known = spark.createDataFrame([(0, 1, 11)], "class1 long, class2 long, parts int")
+    for kind in ("linear", "rbf"):
+        square = (x * x).sum(axis=1)
+        k = classify._kernel(x @ x.T, square, square, kind, 0.3)
+        whole, _ = classify.train_svm(k, y, 1.0)
+        got = classify._machines(rows, known, 1.0, kind).collect()
+        ay = np.zeros(150)
+        for m in got:
+            ay[m.doc_id] = m.a
+        value = lambda v: np.abs(v).sum() - v @ k @ v / 2
+        margin = y * (k @ ay + got[0].bias)
+        assert abs(value(ay) / value(whole) - 1) < 1e-3 and (margin[ay == 0] > 1 - 5e-3).all() and abs(ay.sum()) < 1e-9
 
 
 @pytest.mark.parametrize("kind", ["linear", "rbf", "poly"])
@@ -331,4 +357,3 @@ def test_documents_without_terms_are_classified(spark):
     out = {x.new_id: x for x in run.classify(new).collect()}
     assert set(out) == {100, 101, 102, 103}
     assert all(out[i].knn_class == max(first, key=lambda c: (first.count(c), -first.index(c))) and out[i].svm_class in first for i in (101, 102, 103))
-    assert classify.features(run.terms, run.terms, new.select("doc_id"))[1].count() == 4
