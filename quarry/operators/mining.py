@@ -22,11 +22,35 @@ def association_rules(baskets: DataFrame, items: str, support: float = 0.1, conf
     return FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence).fit(baskets).associationRules
 
 
-def hierarchical(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Bisecting k-means with the cosine measure over a column features."""
-    from pyspark.ml.clustering import BisectingKMeans
-
-    return BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine").fit(vectors).transform(vectors)
+def train_term_bayes(counts: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """A multinomial naive Bayes model of terms (doc_id, stem, cnt) and labels (doc_id, class): (class, stem, weight) and (class, prior, absent).
+
+    weight is what an occurrence adds beyond one of a term that the class lacks, absent what each of those adds. The vocabulary is that of the
+    labelled documents; documents without terms count for the priors."""
+    labels = labels.where("class is not null and doc_id is not null").select("doc_id", "class")
+    of = counts.join(labels, "doc_id").groupBy("class", "stem").agg(F.sum("cnt").alias("n"))
+    size = of.select("stem").distinct().agg(F.count("*").alias("v"))
+    docs = labels.groupBy("class").agg(F.count("*").alias("docs"))
+    total = docs.agg(F.sum("docs").alias("all"))
+    words = of.groupBy("class").agg(F.sum("n").alias("words"))
+    per = docs.join(words, "class", "left").join(F.broadcast(size)).join(F.broadcast(total))  # one row each
+    absent = F.log(F.lit(smoothing)) - F.log(F.coalesce("words", F.lit(0)) + F.lit(smoothing) * F.col("v"))
+    classes = per.select("class", F.log(F.col("docs").cast("double") / F.col("all")).alias("prior"), absent.alias("absent"))
+    return of.select("class", "stem", (F.log(F.col("n") + F.lit(smoothing)) - F.log(F.lit(smoothing))).alias("weight")), classes
+
+
+def term_bayes(model: tuple[DataFrame, DataFrame], docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, class, score): the likeliest class of docs (doc_id) with terms (doc_id, stem, cnt), ties to the smaller one; a document without terms has the commonest.
+
+    A term that a class lacks costs no row: a document's number of words times a constant of the class stands for all of them."""
+    weights, classes = model
+    said = counts.join(weights, "stem").groupBy("doc_id", "class").agg(F.sum(F.col("cnt") * F.col("weight")).alias("said"))
+    long = counts.groupBy("doc_id").agg(F.sum("cnt").alias("words"))
+    every = docs.select("doc_id").join(long, "doc_id", "left").crossJoin(F.broadcast(classes))  # a row for each of the few classes
+    x = every.join(said, ["doc_id", "class"], "left")
+    score = F.round(F.col("prior") + F.coalesce("words", F.lit(0)) * F.col("absent") + F.coalesce("said", F.lit(0.0)), 6)
+    best = x.select("doc_id", "class", score.alias("score")).groupBy("doc_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "class")).alias("m"))
+    return best.select("doc_id", "m.class", "score")
 
 
 def one_vs_rest_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:

@@ -32,6 +32,25 @@ def stem_table(docs: DataFrame, config: EngineConfig = EngineConfig(), stemmer:
     return x.withColumn("lemma", {"english": english_stem, "porter": porter_stem}[stemmer]("word")).where("word <> lemma")
 
 
+#: The endings of English nouns that are detached, and what takes their place.
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+
+
+def noun_lemmas(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(word, lemma) of words (word) whose lemma is another word: an exception (word, lemma) if there is one, else the shortest candidate in the vocabulary (word), ties alphabetical.
+
+    Candidates come of detaching noun endings; a word without any keeps its own form and has no row. Joins only: neither table is collected."""
+    words = words.select("word").where("word is not null").distinct()
+    known = vocabulary.select(F.col("word").alias("lemma")).where("lemma is not null").distinct()
+    made = [F.when(F.col("word").endswith(a) & (F.length("word") > len(a)), F.concat(F.expr(f"left(word, length(word) - {len(a)})"), F.lit(b))) for a, b in NOUN_ENDINGS]
+    found = words.select("word", F.explode(F.array(*made)).alias("lemma")).where("lemma is not null").join(known, "lemma", "left_semi")
+    best = found.groupBy("word").agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma")).alias("m")).select("word", "m.lemma")
+    if exceptions is None:
+        return best
+    own = exceptions.select("word", F.col("lemma").alias("stated")).join(words, "word", "left_semi")
+    return own.join(best, "word", "full").select("word", F.coalesce("stated", "lemma").alias("lemma")).where("lemma <> word")
+
+
 def _runs(tokens: str) -> list[Column]:
     """Of a column of sorted tokens: the last place of each distinct one, as an array, and the array of (stem, cnt) that follows from it."""
     ends = F.filter(F.transform(tokens, lambda w, i: F.when(w == F.get(tokens, i + 1), 0).otherwise(i + 1)), lambda end: end > 0)

@@ -51,12 +51,14 @@ class Pipeline:
             self.similarities = staged(similarity.pairwise_cosine(self.terms, self.config))
         return self
 
-    def save(self) -> None:
-        """Documents and inverse document frequencies, into their tables."""
+    def save(self) -> dict[str, int]:
+        """Documents and inverse document frequencies, into their tables; returns what the writing passes counted."""
         writers.create_tables(self.spark)
         title = F.col("title") if "title" in self.docs.columns else F.lit("")
-        writers.save_documents(self.docs.select("doc_id", F.coalesce(title, F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null"))
-        writers.save_idf(self.idf)
+        seen = writers.save_documents(self.docs.select("doc_id", F.coalesce(title, F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null"))
+        seen |= writers.save_idf(self.idf)
+        log.info("saved %s", seen)
+        return seen
 
     def cluster(self) -> Pipeline:
         with self.timed("cluster"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import STOPWORDS, EngineConfig
 from ..functions import text as fn
-from ..operators import classify, cluster, metrics, mining, similarity, terms
+from ..operators import classify, cluster, hierarchy, metrics, mining, similarity, terms
 from ..sources import readers
 
 CONFIG = EngineConfig(centers=5, iterations=2, k=10)
@@ -60,7 +60,8 @@ def _near(spark: SparkSession, sf_dir: str, exclude_self: bool = True) -> tuple[
     doc_terms = _terms(spark, sf_dir).persist()
     labels = _labels(spark, sf_dir, doc_terms).persist()
     asked = doc_terms.where(_asked())
-    return classify.neighbors(asked, doc_terms, labels, CONFIG, exclude_self).persist(), labels, doc_terms, asked
+    stated = _docs(spark, sf_dir).where(_asked())  # those without terms, too
+    return classify.neighbors(asked, doc_terms, labels, CONFIG, exclude_self, stated).persist(), labels, doc_terms, asked
 
 
 # --- SQL: blocks that queries share
@@ -110,7 +111,7 @@ def _reselect(a: str, out: str) -> str:
 
 _CLUSTERED = (_CENTERS0, _assign("c0", "a1"), _reselect("a1", "c1"), _assign("c1", "a2"))
 _NEAR = f"""
-    asked AS (SELECT doc_id AS new_id FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT doc_id FROM dt)),
+    asked AS (SELECT doc_id AS new_id FROM documents WHERE doc_id % 100 = 0),
     sims AS (SELECT u.doc_id AS new_id, v.doc_id, {_snap("sum(u.w * v.w)")} AS sim FROM unit u JOIN unit v USING (stem) WHERE u.doc_id % 100 = 0 AND u.doc_id <> v.doc_id GROUP BY ALL),
     near AS (
         SELECT new_id, row_number() OVER (PARTITION BY new_id ORDER BY z.sim DESC, doc_id) AS rank, doc_id, z.sim AS sim, center_id AS class
@@ -185,6 +186,20 @@ def lemmatized_counts(spark, sf_dir):
     return terms.term_counts(_docs(spark, sf_dir), CONFIG, lemmas).select("doc_id", "stem", "cnt")
 
 
+@query(
+    _with(
+        """SELECT word, lemma FROM (SELECT v.word, substring(v.word, 1, length(v.word) - length(e.old)) || e.new AS lemma FROM vocabulary v JOIN endings e ON ends_with(v.word, e.old) AND length(v.word) > length(e.old))
+        WHERE lemma IN (SELECT word FROM vocabulary) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(lemma), lemma) = 1""",
+        "vocabulary AS (SELECT DISTINCT stem AS word FROM ex)",
+        "endings(old, new) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in terms.NOUN_ENDINGS) + ")",
+    )
+)
+def noun_lemmas(spark, sf_dir):
+    """The vocabulary of the documents is both what is lemmatised and what lemmas are checked against."""
+    words = terms.term_counts(_docs(spark, sf_dir), CONFIG).select(F.col("stem").alias("word")).distinct()
+    return terms.noun_lemmas(words, words)
+
+
 @query()
 def stemmed_counts(spark, sf_dir):
     """Term counts by English stems."""
@@ -446,9 +461,53 @@ def _predicted(x: DataFrame) -> DataFrame:
     return x.select("vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
-@query()
+_HEIGHTS = (0.4, 0.6, 0.8)
+_VECTORS = """u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    k AS (SELECT vec_id, v, array_to_string(list_transform(v[1:6], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS canopy FROM u),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.v, b.v), 6) AS height FROM k a JOIN k b ON a.canopy = b.canopy AND a.vec_id <> b.vec_id)"""
+_REACH = "r{n} AS (SELECT vec_id AS node, vec_id AS c FROM embeddings UNION SELECT l.b, r{n}.c FROM r{n} JOIN l ON r{n}.node = l.a WHERE r{n}.c < l.b AND l.height <= {h}), g{n} AS (SELECT node, min(c) AS c FROM r{n} GROUP BY node)"
+
+
+@query(
+    f"WITH RECURSIVE {_VECTORS}, " + ", ".join(_REACH.format(n=n, h=h) for n, h in enumerate(_HEIGHTS))
+    + " SELECT g0.node AS vec_id, " + ", ".join(f"g{n}.c AS cluster_{int(10 * h)}" for n, h in enumerate(_HEIGHTS)) + " FROM g0 JOIN g1 USING (node) JOIN g2 USING (node)"
+)
 def hierarchical_clusters(spark, sf_dir):
-    return _predicted(mining.hierarchical(_vectors(spark, sf_dir)[0], 10))
+    """Clusters of all vectors at three heights of the dendrogram."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    nodes = rows.select(F.col("vec_id").alias("node"))
+    forest = hierarchy.spanning_forest(nodes, hierarchy.canopy_links(rows, "vec_id", "embedding", 6, 0.2))
+    out = nodes
+    for h in _HEIGHTS:
+        out = out.join(hierarchy.clusters_at(nodes, forest, h).withColumnRenamed("cluster", f"cluster_{int(10 * h)}"), "node")
+    return out.withColumnRenamed("node", "vec_id")
+
+
+@query(
+    f"""WITH {_BASE},
+    lab AS (SELECT doc_id, lang FROM documents WHERE doc_id % 100 <> 0 AND lang IS NOT NULL),
+    nct AS (SELECT lang, stem, CAST(sum(cnt) AS BIGINT) AS n FROM tc JOIN lab USING (doc_id) GROUP BY ALL),
+    cls AS (SELECT lang, ln(count(*)::DOUBLE / (SELECT count(*) FROM lab)) AS prior FROM lab GROUP BY lang),
+    den AS (SELECT lang, prior, coalesce((SELECT sum(n) FROM nct WHERE nct.lang = cls.lang), 0) + (SELECT count(DISTINCT stem) FROM nct) AS total FROM cls),
+    ask AS (SELECT doc_id FROM documents WHERE doc_id % 100 = 0),
+    per AS (SELECT a.doc_id, d.lang, d.prior + coalesce(sum(tc.cnt * (ln(coalesce(nct.n, 0) + 1.0::DOUBLE) - ln(d.total::DOUBLE))), 0) AS score
+        FROM ask a CROSS JOIN den d LEFT JOIN tc ON tc.doc_id = a.doc_id LEFT JOIN nct ON nct.lang = d.lang AND nct.stem = tc.stem GROUP BY a.doc_id, d.lang, d.prior)
+    SELECT doc_id, lang AS class, round(score, 4) AS score FROM per QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, lang) = 1"""
+)
+def term_bayes_labels(spark, sf_dir):
+    """Languages of the stated documents by multinomial naive Bayes over the terms of all others."""
+    docs = _docs(spark, sf_dir)
+    counts = terms.term_counts(docs, CONFIG)
+    model = mining.train_term_bayes(counts.where(~_asked()), docs.where(~_asked()).select("doc_id", F.col("lang").alias("class")))
+    out = mining.term_bayes(model, docs.where(_asked()), counts.where(_asked()))
+    return out.withColumn("score", F.round("score", 4))
+
+
+@query()
+def dendrogram_merges(spark, sf_dir):
+    """The merges of single linkage, with their heights."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hierarchy.spanning_forest(rows.select(F.col("vec_id").alias("node")), hierarchy.canopy_links(rows, "vec_id", "embedding", 6, 0.2))
 
 
 @query()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {"page": "doc_id BIGINT NOT NULL, title STRING NOT NULL, text STRING NOT NULL", "token": "stem STRING NOT NULL, df BIGINT, idf DOUBLE"}
 
@@ -19,12 +20,22 @@ def clean_tables(spark: SparkSession) -> None:
             spark.sql(f"TRUNCATE TABLE {name}")
 
 
-def save_documents(docs: DataFrame, table: str = "page") -> None:
-    docs.select("doc_id", "title", "text").write.mode("append").insertInto(table)
+def save_documents(docs: DataFrame, table: str = "page") -> dict[str, int]:
+    """Puts docs (doc_id, title, text, perhaps redirect_title) but redirects in place of what the table held, so that a second run changes nothing.
 
+    Returns n_docs, n_redirects and largest_id, counted by the pass that writes."""
+    seen = Observation()
+    redirect = F.coalesce(F.col("redirect_title") != "", F.lit(False)) if "redirect_title" in docs.columns else F.lit(False)
+    counted = docs.withColumn("_redirect", redirect).observe(seen, F.count_if(~F.col("_redirect")).alias("n_docs"), F.count_if("_redirect").alias("n_redirects"), F.max("doc_id").alias("largest_id"))
+    counted.where(~F.col("_redirect")).select("doc_id", "title", "text").write.insertInto(table, overwrite=True)
+    return seen.get
 
-def save_idf(idf: DataFrame, table: str = "token") -> None:
-    idf.select("stem", "df", "idf").write.mode("append").insertInto(table)
+
+def save_idf(idf: DataFrame, table: str = "token") -> dict[str, int]:
+    """Puts idf (stem, df, idf) in place of what the table held; returns n_tokens, counted by the pass that writes."""
+    seen = Observation()
+    idf.select("stem", "df", "idf").observe(seen, F.count("*").alias("n_tokens")).write.insertInto(table, overwrite=True)
+    return seen.get
 
 
 def save(df: DataFrame, path: str, *partition_by: str) -> None:

@@ -262,7 +262,6 @@ def test_models_of_the_library(spark):
     train, test = x.where("vec_id < 40"), x.where("vec_id >= 40")
     for out in (mining.one_vs_rest_svm(train, test), mining.naive_bayes(train, test), mining.perceptron(train, test, [4, 5, 2])):
         assert out.where("prediction = label").count() >= 19
-    assert mining.hierarchical(x, 2).select("prediction").distinct().count() == 2
 
 
 def test_tables(spark):
@@ -357,3 +356,91 @@ def test_documents_without_terms_are_classified(spark):
     out = {x.new_id: x for x in run.classify(new).collect()}
     assert set(out) == {100, 101, 102, 103}
     assert all(out[i].knn_class == max(first, key=lambda c: (first.count(c), -first.index(c))) and out[i].svm_class in first for i in (101, 102, 103))
+
+
+def test_spanning_forest_against_kruskal(spark):
+    from quarry.operators import hierarchy
+
+    r = random.Random(4)
+    for n, m in ((40, 120), (30, 15), (3, 0)):
+        links = [(r.randrange(n), r.randrange(n), r.choice([0.1, 0.2, 0.3, 0.5, 0.5, None])) for _ in range(m)] + [(1, 999, 0.1)]
+        nodes = spark.createDataFrame([(i,) for i in [*range(n), 0, None]], "node long")
+        forest = hierarchy.spanning_forest(nodes, spark.createDataFrame(links, "a long, b long, height double"))
+        root = {i: i for i in range(n)}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        want, cuts = [], {}
+        for h, a, b in sorted({(h, min(a, b), max(a, b)) for a, b, h in links if h is not None and a != b and max(a, b) < n}):
+            x, y = sorted((find(a), find(b)))
+            if x != y:
+                root[y] = x
+                want.append((a, b, h))
+        assert sorted(tuple(x) for x in forest.collect()) == sorted(want)
+        for cut in (0.15, 0.3):
+            root = {i: i for i in range(n)}
+            for a, b, h in want:
+                if h <= cut:
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+            cuts = {x.node: x.cluster for x in hierarchy.clusters_at(nodes, forest, cut).collect()}
+            assert cuts == {i: find(i) for i in range(n)}
+
+
+def test_noun_lemmas(spark):
+    words = ["dogs", "dog", "boxes", "box", "women", "woman", "cities", "city", "buses", "bus", "glass", "s", "as", "wolves", "wolf", "mice", "mouse", "news", None, "churches", "church"]
+    x = spark.createDataFrame([(w,) for w in words], "word string")
+    rules = {"dogs": "dog", "boxes": "box", "women": "woman", "cities": "city", "buses": "bus", "wolves": "wolf", "churches": "church"}
+    assert {r.word: r.lemma for r in terms.noun_lemmas(x, x).collect()} == rules
+    exceptions = spark.createDataFrame([("mice", "mouse"), ("news", "news"), ("buses", "omnibus"), ("geese", "goose")], "word string, lemma string")
+    assert {r.word: r.lemma for r in terms.noun_lemmas(x, x, exceptions).collect()} == rules | {"mice": "mouse", "buses": "omnibus"}
+    assert terms.noun_lemmas(x.limit(0), x).count() == 0
+
+
+def test_term_bayes_against_its_formula(spark):
+    taught = [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None)]
+    counts = {0: {"x": 2, "y": 1}, 1: {"x": 1}, 2: {"z": 3}, 3: {"y": 1}, 5: {"q": 9}}
+    asked = {10: {"x": 2}, 11: {"z": 1, "y": 1}, 12: {}, 13: {"unknown": 4}}
+    rows = lambda d: spark.createDataFrame([(i, s, n) for i, c in d.items() for s, n in c.items()], "doc_id long, stem string, cnt long")
+    model = mining.train_term_bayes(rows(counts), spark.createDataFrame(taught, "doc_id long, class string"), 0.5)
+    got = {x.doc_id: (x["class"], x.score) for x in mining.term_bayes(model, spark.createDataFrame([(i,) for i in asked], "doc_id long"), rows(asked)).collect()}
+    own = {c: [counts.get(i, {}) for i, k in taught if k == c] for c in "abc"}
+    vocabulary = {s for c in own.values() for d in c for s in d}
+
+    def score(c, doc):
+        total = sum(n for d in own[c] for n in d.values()) + 0.5 * len(vocabulary)
+        return math.log(len(own[c]) / 5) + sum(n * math.log((sum(d.get(s, 0) for d in own[c]) + 0.5) / total) for s, n in doc.items())
+
+    for i, doc in asked.items():
+        scores = {c: round(score(c, doc), 6) for c in own}
+        best = min(scores, key=lambda c: (-scores[c], c))
+        assert got[i][0] == best and abs(got[i][1] - scores[best]) < 2e-6
+
+
+def test_partitioned_jdbc(spark):
+    url = {"url": "jdbc:derby:memory:parted;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(0, 1000, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).write.format("jdbc").options(dbtable="parted", **url).save()
+    got = readers.read_partitioned(spark, "parted", rows=100, **url)
+    assert got.rdd.getNumPartitions() == 10 and sorted(r[0] for r in got.collect()) == list(range(0, 1000, 3))
+    some = readers.id_range(got.withColumnsRenamed({c: c.lower() for c in got.columns}), 300, 100)
+    plan = some._jdf.queryExecution().executedPlan().toString().upper()
+    assert "GREATERTHANOREQUAL(DOC_ID,300)" in plan and "LESSTHAN(DOC_ID,400)" in plan
+    assert [r.doc_id for r in some.orderBy("doc_id").collect()] == list(range(300, 400, 3))
+    got.limit(0).write.format("jdbc").options(dbtable="none_there", **url).save()
+    assert readers.read_partitioned(spark, "none_there", **url).count() == 0
+
+
+def test_saving_twice_changes_nothing_and_counts_as_it_writes(spark):
+    writers.create_tables(spark)
+    try:
+        docs = corpus(spark).withColumn("title", F.lit("t")).withColumn("redirect_title", F.when(F.col("doc_id") == 3, "x"))
+        idf = spark.createDataFrame([("sun", 3, 1.5), ("sky", 2, 2.0)], "stem string, df long, idf double")
+        for _ in range(2):
+            assert writers.save_documents(docs) == {"n_docs": 3, "n_redirects": 1, "largest_id": 3} and writers.save_idf(idf) == {"n_tokens": 2}
+            assert sorted(r.doc_id for r in spark.table("page").collect()) == [0, 1, 2] and spark.table("token").count() == 2
+    finally:
+        spark.sql("DROP TABLE page")
+        spark.sql("DROP TABLE token")
