@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from pathlib import Path
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import STOPWORDS, EngineConfig
 from ..functions import text as fn
-from ..operators import classify, cluster, hierarchy, metrics, mining, similarity, terms
+from ..operators import classify, cluster, hierarchy, incremental, metrics, mining, similarity, terms
+from ..operators.order import shared_dir
 from ..sources import readers
 
 CONFIG = EngineConfig(centers=5, iterations=2, k=10)
@@ -217,6 +219,19 @@ def document_frequency(spark, sf_dir):
     return terms.document_frequency(terms.term_counts(_docs(spark, sf_dir), CONFIG))
 
 
+@query(_with("SELECT stem, df FROM idf"))
+def incremental_document_frequency(spark, sf_dir):
+    """The frequencies of all documents, reached by a base and two deltas: new documents; texts put right, and strangers deleted again."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.lit(False).alias("deleted"))
+    strangers = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((-1 - F.col("item_id")).alias("doc_id"), "text", F.lit(False).alias("deleted"))
+    wrong = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text")))
+    table = incremental.TokenTable(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", CONFIG)
+    table.apply("base", wrong.union(strangers))
+    table.apply("new", docs.where("doc_id % 3 = 0"))
+    table.apply("right", docs.where("doc_id % 5 = 0").union(strangers.withColumn("deleted", F.lit(True))))
+    return table.document_frequency()
+
+
 @query(_with("SELECT stem, df, round(idf, 6) AS idf FROM idf"))
 def inverse_document_frequency(spark, sf_dir):
     docs = _docs(spark, sf_dir)

@@ -444,3 +444,24 @@ def test_saving_twice_changes_nothing_and_counts_as_it_writes(spark):
     finally:
         spark.sql("DROP TABLE page")
         spark.sql("DROP TABLE token")
+
+
+def test_token_table_by_deltas(spark, tmp_path):
+    from quarry.operators.incremental import TokenTable
+
+    table = TokenTable(spark, str(tmp_path / "tokens"), CONFIG)
+    delta = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, deleted boolean")
+    frequencies = lambda: {r.stem: r.df for r in table.document_frequency().collect()}
+    recount = lambda texts: {r.stem: r.df for r in terms.document_frequency(terms.term_counts(corpus(spark, texts), CONFIG)).collect()}
+    assert frequencies() == {}
+    base = delta([(0, "sun sun sky", False), (1, "moon", None), (2, None, False), (None, "lost", False)])
+    assert table.apply("base", base) == 1 and frequencies() == recount(["sun sky", "moon"])
+    second = delta([(1, "sun moon star", False), (3, "star", False), (0, None, True), (9, None, True)])
+    assert table.apply("second", second) == 2 and frequencies() == recount(["sun moon star", "star"])
+    assert table.apply("second", second) == 2 and table.apply("base", base) == 1 and frequencies() == {"sun": 1, "moon": 1, "star": 2}
+    # an attempt that was lost before its commit
+    table._write(delta([(1, "x", False)]).select("doc_id").withColumn("version", F.lit(3)), "touched", 3)
+    table._write(spark.createDataFrame([(1, 3, "wrong")], "doc_id long, version long, stem string"), "stems", 3)
+    assert frequencies() == {"sun": 1, "moon": 1, "star": 2}
+    assert table.apply("third", delta([(0, "sky", False), (3, "sun", False)])) == 3 and frequencies() == recount(["sky", "sun moon star", "sun"])
+    assert table.apply("none", delta([])) == 4 and frequencies() == recount(["sky", "sun moon star", "sun"])
