@@ -56,7 +56,11 @@ def term_bayes(model: tuple[DataFrame, DataFrame], docs: DataFrame, counts: Data
 def one_vs_rest_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * max(1, train.count())), standardization=False)).fit(train).transform(test)
+    model = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * max(1, train.count())), standardization=False)).fit(train)
+    none = train.sparkSession._jvm.scala.Option.empty()
+    for m in model.models:  # a summary holds the session, which cannot travel with the model once any DataFrame of it is observed
+        m._java_obj.setSummary(none)
+    return model.transform(test)
 
 
 def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
