@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
-from pathlib import Path
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..config import STOPWORDS, EngineConfig
 from ..functions import text as fn
 from ..operators import classify, cluster, hierarchy, incremental, metrics, mining, similarity, terms
 from ..operators.order import shared_dir
-from ..sources import readers
+from ..sources import readers, writers
 
 CONFIG = EngineConfig(centers=5, iterations=2, k=10)
 ITEM_LIMIT = 500
@@ -148,10 +147,15 @@ def corpus_counters(spark, sf_dir):
     return _docs(spark, sf_dir).agg(F.max("doc_id").alias("largest_id"), F.count("*").alias("n_docs"), F.count_if(F.col("source") == "src0").alias("n_redirects"), (F.count("*") == 0).alias("is_empty"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'April', 'April is the fourth month of the year.'), (2, 'Nothing', ''), (3, 'Template:Box', 'A box around text.'), (4, 'Marks', 'don''t_x & cafés')) x(doc_id, title, text)")
-def xml_scan(spark, sf_dir):
-    """The sample dump that comes with the package."""
-    return readers.corpus_from_xml(spark, Path(__file__).parent.parent.joinpath("sources", "sample.xml").as_uri())
+@query("SELECT doc_id, title, text FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'doc_' || doc_id AS title, coalesce(text, '') AS text, source FROM documents) WHERE source IS DISTINCT FROM 'src0'")
+def dump_round_trip(spark, sf_dir):
+    """All documents as a page dump of many files, written and read back: one source's documents are redirects, every seventh page has a second revision."""
+    docs = _docs(spark, sf_dir)
+    to = F.when(F.col("source") == "src0", F.lit("elsewhere"))
+    second = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("an older text")))
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    writers.save_dump(docs.select("doc_id", F.concat(F.lit("doc_"), "doc_id").alias("title"), "text", to.alias("redirect_title"), second.alias("revisions")), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return readers.corpus_from_xml(spark, path)
 
 
 # --- terms

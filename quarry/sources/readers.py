@@ -9,14 +9,23 @@ from ..config import EngineConfig
 from ..operators import order as order_by
 
 #: A page may hold several revisions: the first is its text.
-PAGE = "title string, redirect struct<_title: string>, revision array<struct<text: string>>"
+PAGE = "title string, redirect struct<_title: string>, revision array<struct<text: string>>, _damaged string"
+#: White space around texts belongs to them.
+XML = {"rowTag": "page", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_damaged"}
 
 
 def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(title, redirect_title, content, and where each page stands) of the pages of a dump; compressed dumps too."""
-    x = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
-    at = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return x.select("title", F.col("redirect._title").alias("redirect_title"), F.coalesce(F.get("revision", F.lit(0))["text"], F.lit("")).alias("content"), *at).withColumn("_row", F.monotonically_increasing_id())
+    """(title, redirect_title, content, damaged, and where each page stands) of the pages of a dump: a file or a folder of files; compressed dumps too.
+
+    A dump is cut behind each </page>, by many tasks also within a file (bzip2 too), and each page is parsed alone: one that is no well-formed
+    XML, or is cut off by the end of the file, has its own source as damaged and harms no other. A page without a text has an empty one.
+    Dumps with CDATA sections that hold </page> are not read rightly."""
+    x = spark.read.text(path, lineSep="</page>").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
+    begin = F.regexp_instr("value", F.lit("<page[\\s>]"))
+    page = F.concat(F.col("value").substr(begin, F.length("value")), F.lit("</page>"))
+    x = x.where(begin > 0).withColumn("_page", F.from_xml(page, PAGE, XML))
+    content = F.coalesce(F.get("_page.revision", F.lit(0))["text"], F.lit(""))
+    return x.select(F.col("_page.title").alias("title"), F.col("_page.redirect._title").alias("redirect_title"), content.alias("content"), F.col("_page._damaged").alias("damaged"), "_file", "_block", "_row")
 
 
 def numbered(items: DataFrame, order: list[str], out: str = "doc_id") -> DataFrame:
@@ -34,10 +43,19 @@ def without_redirects(items: DataFrame, redirect: Column | str = "redirect_title
     return items.where(c.isNull() | (c == ""))
 
 
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    return numbered(read_xml_dump(spark, path), ["_file", "_block", "_row"])
+
+
 def corpus_from_xml(spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(doc_id, title, text): identifiers have gaps where redirects were."""
-    items = numbered(read_xml_dump(spark, path), ["_file", "_block", "_row"])
-    return without_redirects(limited(items, config.item_limit)).select("doc_id", "title", F.col("content").alias("text"))
+    """(doc_id, title, text): identifiers have gaps where redirects and damaged pages were."""
+    items = limited(_items(spark, path), config.item_limit).where("damaged is null")
+    return without_redirects(items).select("doc_id", "title", F.col("content").alias("text"))
+
+
+def damaged_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, damaged): the number and the source of each page of a dump that could not be parsed."""
+    return _items(spark, path).where("damaged is not null").select("doc_id", "damaged")
 
 
 def read_table(spark: SparkSession, source: str, **options: str) -> DataFrame:

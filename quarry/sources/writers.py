@@ -38,5 +38,29 @@ def save_idf(idf: DataFrame, table: str = "token") -> dict[str, int]:
     return seen.get
 
 
+#: What XML 1.0 cannot carry in any form.
+NOT_XML = "[^\\t\\n\\r\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+
+
+def save_dump(items: DataFrame, path: str, files: int, compression: str = "bzip2") -> None:
+    """Writes items (doc_id, title, text, perhaps redirect_title and revisions) as a page dump of at most so many files, in the order of doc_id.
+
+    Read again, items have dense numbers in that order, redirects included. revisions (an array of texts) follow the text, which stays the
+    page's text. A null text is written as an empty one, a null in revisions too; null identifiers come first, rows of one doc_id by title and
+    text. Characters that XML cannot carry become U+FFFD. files: below 100,000, as the names of more are not in the order of their numbers."""
+    if not 0 < files < 100_000:
+        raise ValueError(f"a dump of {files} files")
+
+    def carried(c):
+        return F.regexp_replace(F.coalesce(c, F.lit("")), NOT_XML, "\ufffd")
+
+    to = F.col("redirect_title") if "redirect_title" in items.columns else F.lit(None).cast("string")
+    more = F.coalesce("revisions", F.array().cast("array<string>")) if "revisions" in items.columns else F.array().cast("array<string>")
+    texts = F.concat(F.array(F.col("text")), more)
+    x = items.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "title", "text")
+    x = x.select(carried(F.col("title")).alias("title"), F.when(to != "", F.struct(carried(to).alias("_title"))).alias("redirect"), F.transform(texts, lambda t: F.struct(carried(t).alias("text"))).alias("revision"))
+    x.write.format("xml").options(rootTag="mediawiki", rowTag="page", ignoreSurroundingSpaces="false", compression=compression).save(path)
+
+
 def save(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -199,10 +199,11 @@ def test_large_identifiers_and_odd_vectors(spark):
     assert classify.dense_neighbors(vectors.limit(0), vectors, 2).count() == 0
 
 
-def test_xml_items(spark, tmp_path):
-    from quarry.plans import queries
+def test_xml_items(spark):
+    from pathlib import Path
 
-    got = {r.doc_id: (r.title, r.text) for r in queries.QUERIES["xml_scan"](spark, "").collect()}
+    sample = Path(readers.__file__).with_name("sample.xml").as_uri()
+    got = {r.doc_id: (r.title, r.text) for r in readers.corpus_from_xml(spark, sample).collect()}
     assert list(sorted(got)) == [0, 2, 3, 4] and got[0][0] == "April" and got[2][1] == ""
     words = terms.tokenized(spark.createDataFrame([(4, got[4][1])], "doc_id long, text string"), EngineConfig(stopwords=())).first().tokens
     assert words == ["don", "t_x", "cafés"]
@@ -217,6 +218,49 @@ def test_a_page_of_several_revisions_has_the_first(spark, tmp_path):
     assert got == {"T": "one", "N": ""}
 
 
+def test_a_dump_written_and_read_back(spark, tmp_path):
+    texts = ["plain", " around \n\n", "a\r\nb\rc", "", None, "<page>&amp; ]]> </page>", "tab\t", "null", "\U0001f600 é", "a\x01b\ufffe", "x" * 300_000, "plain"]
+    rows = [(3 * i, f"t{i}", t, "t0" if i % 4 == 1 else None if i % 2 else "", ["old", None] if i % 3 == 0 else None) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "doc_id long, title string, text string, redirect_title string, revisions array<string>")
+    for files, compression in ((1, "bzip2"), (5, "none")):
+        path = str(tmp_path / f"dump{files}")
+        writers.save_dump(items.repartition(3), path, files, compression)
+        got = {r.doc_id: (r.title, r.text) for r in readers.corpus_from_xml(spark, path).collect()}
+        assert got == {i: (f"t{i}", "a\ufffdb\ufffd" if i == 9 else t or "") for i, t in enumerate(texts) if i % 4 != 1}
+        assert readers.damaged_pages(spark, path).count() == 0
+    writers.save_dump(items.select("doc_id", "title", "text").limit(0), str(tmp_path / "none"), 2)
+    assert readers.corpus_from_xml(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        writers.save_dump(items, str(tmp_path / "many"), 100_000)
+
+
+def test_a_dump_is_cut_anywhere(spark, tmp_path):
+    """Splits of a few kB, within pages, plain and bzip2: no page is lost, doubled or out of order."""
+    items = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("title"), F.concat(F.lit("word "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for compression in ("none", "bzip2"):
+            path = str(tmp_path / compression)
+            writers.save_dump(items, path, 2, compression)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+            x = readers.read_xml_dump(spark, path)
+            assert compression == "bzip2" or x.rdd.getNumPartitions() > 20
+            assert [(r.doc_id, r.title) for r in readers.corpus_from_xml(spark, path).orderBy("doc_id").select("doc_id", "title").collect()] == [(i, f"t{i}") for i in range(3000)]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_damaged_page_harms_no_other(spark, tmp_path):
+    good = "<page><title>{}</title><revision><text>{}</text></revision></page>"
+    bad = ["<page><title>b</title><revision><text>two</revision></page>", "<page><title>c</title><revision><text>three &nope; x</text></revision></page>"]
+    cut = "<page><title>e</title><revision><text>five"
+    (tmp_path / "a.xml").write_text("<mediawiki><siteinfo>x</siteinfo>" + good.format("a", "one") + "\n".join(bad) + good.format("d", "four") + cut)
+    assert {r.doc_id: (r.title, r.text) for r in readers.corpus_from_xml(spark, str(tmp_path / "a.xml")).collect()} == {0: ("a", "one"), 3: ("d", "four")}
+    got = {r.doc_id: r.damaged for r in readers.damaged_pages(spark, str(tmp_path / "a.xml")).collect()}
+    assert got == {1: bad[0], 2: bad[1], 4: cut + "</page>"}
+
+
 def test_jdbc(spark):
     url = {"url": "jdbc:derby:memory:quarry;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     corpus(spark).write.format("jdbc").options(dbtable="page_rows", **url).save()
