@@ -14,6 +14,7 @@ from ..functions import text as fn
 from ..operators import classify, cluster, hierarchy, incremental, metrics, mining, similarity, terms
 from ..operators.order import shared_dir
 from ..sources import readers, writers
+from ..streaming import frequencies, scoring
 
 CONFIG = EngineConfig(centers=5, iterations=2, k=10)
 ITEM_LIMIT = 500
@@ -236,6 +237,17 @@ def incremental_document_frequency(spark, sf_dir):
     return table.document_frequency()
 
 
+@query(_with("SELECT stem, df FROM idf"))
+def streamed_document_frequency(spark, sf_dir):
+    """The frequencies of all documents, arrived in two deliveries: two thirds of them, then all, the first two thirds again; the stream stops in between."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for arrived in (docs.where("doc_id % 3 <> 0"), docs):
+        arrived.write.mode("append").parquet(f"{at}/in")
+        frequencies.count_stream(scoring.documents(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint", CONFIG).awaitTermination()
+    return frequencies.counted(spark, f"{at}/out")
+
+
 @query(_with("SELECT stem, df, round(idf, 6) AS idf FROM idf"))
 def inverse_document_frequency(spark, sf_dir):
     docs = _docs(spark, sf_dir)

@@ -365,6 +365,30 @@ def test_stream(spark, tmp_path):
     assert {r.new_id: r.knn_class for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 2, 1: 0}
 
 
+def test_streamed_frequencies(spark, tmp_path):
+    """Several batches equal one count; what is delivered again, or read by a stream that starts again, adds nothing."""
+    from quarry.streaming.frequencies import count_stream, counted
+    from quarry.streaming.scoring import documents
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("ab cd ef gh ij kl mn the".split(), k=rng.randrange(6))) for _ in range(60)] + [None, ""]
+    docs, at = corpus(spark, texts), str(tmp_path)
+    whole = {r.stem: r.df for r in terms.document_frequency(terms.term_counts(docs, CONFIG)).collect()}
+
+    def run():
+        q = count_stream(documents(spark, f"{at}/in", files=2), f"{at}/out", f"{at}/cp", CONFIG)
+        assert q.awaitTermination(240) and q.exception() is None
+        return {r.stem: r.df for r in counted(spark, f"{at}/out").collect()}, len(list((tmp_path / "out").glob("batch=*")))
+
+    for rest in range(3):
+        docs.where(F.col("doc_id") % 3 == rest).repartition(2).write.mode("append").parquet(f"{at}/in")
+    got, batches = run()
+    assert got == whole and batches >= 3
+    assert run() == (got, batches)  # nothing new
+    docs.unionByName(spark.createDataFrame([(None, "ab zz")], "doc_id long, text string")).unionByName(spark.createDataFrame([(99, "zz zz ab")], "doc_id long, text string")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    assert run()[0] == whole | {"zz": 1, "ab": whole["ab"] + 1}
+
+
 def test_term_counts_in_the_row(spark):
     import random
     import re
