@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import running
@@ -27,6 +27,25 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return x.select("tp", "fn", "fp", "tn", *(c.alias(k) for k, c in rates.items()))
 
 
+def fold(id: Column, folds: int) -> Column:
+    """The fold, from 0, of a row: by its identifier only, so that reruns and other engines agree."""
+    return (F.conv(F.substring(F.md5(id.cast("string").cast("binary")), 1, 7), 16, 10).cast("long") % folds).cast("int")
+
+
+def per_class(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(class, tp, fn, fp, tn) of every class that is true or predicted somewhere; rows with a null in either do not count.
+
+    Rows are first counted by pairs of classes; only these counts are turned to classes."""
+    n, hit = F.col("n"), F.col(truth) == F.col(predicted)
+    pairs = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(truth, predicted).agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    true = F.struct(F.col(truth).alias("class"), F.when(hit, n).otherwise(none).alias("tp"), F.when(hit, none).otherwise(n).alias("fn"), none.alias("fp"))
+    said = F.struct(F.col(predicted).alias("class"), none.alias("tp"), none.alias("fn"), F.when(hit, none).otherwise(n).alias("fp"))
+    x = pairs.select(F.explode(F.array(true, said)).alias("c")).groupBy("c.class").agg(*(F.sum(f"c.{k}").alias(k) for k in ("tp", "fn", "fp")))
+    total = F.broadcast(pairs.agg(F.sum("n").alias("_all")))  # one row
+    return x.join(total).select("class", "tp", "fn", "fp", (F.col("_all") - F.col("tp") - F.col("fn") - F.col("fp")).alias("tn"))
+
+
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, mi): how much more often two values meet than by chance, in natural logarithms."""
     x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import ngrams
+from .metrics import fold
 from .terms import tokenized
 
 
@@ -53,6 +54,36 @@ def term_bayes(model: tuple[DataFrame, DataFrame], docs: DataFrame, counts: Data
     return best.select("doc_id", "m.class", "score")
 
 
+def fold_term_bayes(counts: DataFrame, labels: DataFrame, folds: int, smoothing: float = 1.0) -> DataFrame:
+    """(doc_id, class, predicted): each labelled document (doc_id, class) by the naive Bayes model of terms (doc_id, stem, cnt) of all folds but its own.
+
+    One pass counts for all models: a model's counts are all counts less those of its fold, and only counts are spread over folds. A class whose
+    documents are all in a document's own fold cannot be predicted; a document whose fold is the only one has no row. Ties, and documents without
+    terms, as in term_bayes; rows of labels with nulls are ignored."""
+    labels = labels.where("class is not null and doc_id is not null").select("doc_id", "class", fold(F.col("doc_id"), folds).alias("fold"))
+    held = counts.select("doc_id", "stem", "cnt").join(labels, "doc_id")
+
+    def others(x: DataFrame, keys: list[str], n: Column) -> DataFrame:
+        """(fold, keys, n) over all other folds, where that is not zero."""
+        own = x.groupBy(*keys, "fold").agg(n.alias("own")).groupBy(*keys).agg(F.sum("own").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "own"))).alias("by"))
+        spread = own.select(*keys, "total", "by", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+        return spread.select("fold", *keys, (F.col("total") - F.coalesce(F.try_element_at("by", "fold"), F.lit(0))).alias("n")).where("n > 0")
+
+    words = others(held, ["class", "stem"], F.sum("cnt"))
+    docs = others(labels, ["class"], F.count("*"))
+    vocabulary = words.select("fold", "stem").distinct().groupBy("fold").agg(F.count("*").alias("v"))
+    per = docs.join(words.groupBy("fold", "class").agg(F.sum("n").alias("words")), ["fold", "class"], "left").join(vocabulary, "fold", "left")
+    per = per.join(docs.groupBy("fold").agg(F.sum("n").alias("all")), "fold")
+    size = F.coalesce("words", F.lit(0)) + F.lit(smoothing) * F.coalesce("v", F.lit(1))
+    classes = per.select("fold", F.col("class").alias("predicted"), F.log(F.col("n").cast("double") / F.col("all")).alias("prior"), (F.log(F.lit(smoothing)) - F.log(size)).alias("absent"))
+    weights = words.select("fold", F.col("class").alias("predicted"), "stem", (F.log(F.col("n") + F.lit(smoothing)) - F.log(F.lit(smoothing))).alias("weight"))
+    said = held.join(weights, ["fold", "stem"]).groupBy("doc_id", "predicted").agg(F.sum(F.col("cnt") * F.col("weight")).alias("said"))
+    long = held.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+    x = labels.join(long, "doc_id", "left").join(F.broadcast(classes), "fold").join(said, ["doc_id", "predicted"], "left")  # a row for each of the few classes
+    score = F.round(F.col("prior") + F.coalesce("length", F.lit(0)) * F.col("absent") + F.coalesce("said", F.lit(0.0)), 6)
+    return x.groupBy("doc_id", "class").agg(F.min(F.struct((-score).alias("s"), "predicted")).alias("m")).select("doc_id", "class", "m.predicted")
+
+
 def one_vs_rest_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     from pyspark.ml.classification import LinearSVC, OneVsRest
 

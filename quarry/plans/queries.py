@@ -460,6 +460,13 @@ def label_titles(spark, sf_dir):
     return classify.shared_titles(classify.knn_label(near).select("new_id", F.col("knn_class").alias("center_id")), labels, titles)
 
 
+def _cells(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, labels) of vectors, whose components are their stems."""
+    rows = vectors.where("vec_id is not null and label is not null and embedding is not null")
+    cells = rows.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("stem", "w")).select("doc_id", F.col("stem").cast("string").alias("stem"), F.col("w").cast("double").alias("tf_idf"))
+    return cells, rows.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("center_id"))
+
+
 def _machines(spark: SparkSession, sf_dir: str, kernel: str) -> DataFrame:
     """(vec_id, svm_class): one machine for each pair of labels of embeddings, whose components are its stems."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and label is not null and embedding is not null")
@@ -580,6 +587,54 @@ def confusion_metrics(spark, sf_dir):
     return metrics.confusion(x, "quality", "clean")
 
 
+FOLDS = 5
+_FOLD = f"('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 7))::BIGINT % {FOLDS}"
+_PER_CLASS = """SELECT class, count(*) FILTER (t = class AND p = class) AS tp, count(*) FILTER (t = class AND p <> class) AS fn, count(*) FILTER (t <> class AND p = class) AS fp, count(*) FILTER (t <> class AND p <> class) AS tn
+    FROM (SELECT t AS class FROM told UNION SELECT p FROM told) CROSS JOIN told GROUP BY class"""
+
+
+@query(
+    _with(
+        _PER_CLASS,
+        f"lab AS (SELECT doc_id, lang, {_FOLD} AS fold FROM documents WHERE lang IS NOT NULL)",
+        "fs AS (SELECT DISTINCT fold FROM lab)",
+        "nct AS (SELECT fs.fold, lang, stem, CAST(sum(cnt) AS BIGINT) AS n FROM fs JOIN lab ON lab.fold <> fs.fold JOIN tc USING (doc_id) GROUP BY ALL)",
+        "cls AS (SELECT fold, lang, ln(n::DOUBLE / (sum(n) OVER (PARTITION BY fold))::DOUBLE) AS prior FROM (SELECT fs.fold, lang, count(*) AS n FROM fs JOIN lab ON lab.fold <> fs.fold GROUP BY ALL))",
+        "den AS (SELECT fold, lang, prior, coalesce((SELECT sum(n) FROM nct WHERE nct.lang = cls.lang AND nct.fold = cls.fold), 0) + (SELECT count(DISTINCT stem) FROM nct WHERE nct.fold = cls.fold) AS total FROM cls)",
+        """per AS (SELECT a.doc_id, a.lang AS t, d.lang AS p, d.prior + coalesce(sum(tc.cnt * (ln(coalesce(nct.n, 0) + 1.0::DOUBLE) - ln(d.total::DOUBLE))), 0) AS score
+            FROM lab a JOIN den d USING (fold) LEFT JOIN tc ON tc.doc_id = a.doc_id LEFT JOIN nct ON nct.fold = d.fold AND nct.lang = d.lang AND nct.stem = tc.stem GROUP BY a.doc_id, a.lang, d.lang, d.prior)""",
+        "told AS (SELECT t, p FROM per QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, p) = 1)",
+    )
+)
+def term_bayes_folds(spark, sf_dir):
+    """True and false positives and negatives of each language by naive Bayes, every document held out once."""
+    docs = _docs(spark, sf_dir)
+    told = mining.fold_term_bayes(terms.term_counts(docs, CONFIG), docs.select("doc_id", F.col("lang").alias("class")), FOLDS)
+    return metrics.per_class(told, "class", "predicted")
+
+
+@query(
+    f"""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    near AS (SELECT a.vec_id, CAST(a.label AS BIGINT) AS t, CAST(b.label AS BIGINT) AS p, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 6) DESC, b.vec_id) AS rank
+        FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 QUALIFY rank <= 10),
+    told AS (SELECT t, p FROM (SELECT vec_id, t, p, count(*) AS votes, min(rank) AS r FROM near GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, r) = 1)
+    {_PER_CLASS}"""
+)
+def knn_class_metrics(spark, sf_dir):
+    """The same of labels of vectors by ten nearest neighbours; each stated vector is left out of what answers it."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = rows.where(_asked("vec_id"))
+    told = classify.knn_label(classify.dense_neighbors(asked, rows, 10))
+    return metrics.per_class(told.join(asked.select(F.col("vec_id").alias("new_id"), F.col("label").cast("long").alias("class")), "new_id"), "class", "knn_class")
+
+
+@query()
+def svm_class_folds(spark, sf_dir):
+    """The same of labels of vectors by machines of all pairs of labels, every vector held out once."""
+    cells, labels = _cells(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return metrics.per_class(classify.fold_svm(labels, cells, FOLDS, CONFIG), "class", "predicted")
+
+
 _SCORED = "s AS (SELECT CAST(n_chars AS BIGINT) AS threshold, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1)"
 _RAN = "r AS (SELECT threshold, p, n, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp FROM s WINDOW w AS (ORDER BY threshold DESC))"
 

@@ -488,6 +488,57 @@ def test_term_bayes_against_its_formula(spark):
         assert got[i][0] == best and abs(got[i][1] - scores[best]) < 2e-6
 
 
+def test_folds_of_term_bayes_against_a_model_a_fold(spark):
+    rng = random.Random(5)
+    own = {"x": "ab cd ef", "y": "cd ef gh", "z": "gh ij"}
+    rows = [(i, " ".join(rng.choices((own[c] + " kl").split(), k=rng.randrange(7))), c) for i in range(90) for c in [rng.choice("xxyz")]]
+    rows += [(90, None, "x"), (91, "ab zz zz", "y"), (92, "ij", None), (93, "qq", "w")]  # w: only in its own fold
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    counts = terms.term_counts(docs, CONFIG)
+    got = {r.doc_id: (r["class"], r.predicted) for r in mining.fold_term_bayes(counts, docs.select("doc_id", "class"), 3).collect()}
+    of = {r.doc_id: r.f for r in docs.select("doc_id", metrics.fold(F.col("doc_id"), 3).alias("f")).collect()}
+    bag = {i: [w for w in (t or "").split()] for i, t, _ in rows}
+    want = {}
+    for i, _, c in rows:
+        if c is None:
+            continue
+        rest = [(j, k) for j, _, k in rows if k is not None and of[j] != of[i]]
+        v = len({w for j, _ in rest for w in bag[j]})
+        score = {}
+        for k in {k for _, k in rest}:
+            words = [w for j, q in rest if q == k for w in bag[j]]
+            score[k] = math.log(sum(q == k for _, q in rest) / len(rest)) + sum(math.log((words.count(w) + 1) / (len(words) + v)) for w in bag[i])
+        want[i] = (c, min(score, key=lambda k: (-round(score[k], 6), k)))
+    assert got == want and got[93][1] != "w"
+    assert mining.fold_term_bayes(counts.limit(0), docs.select("doc_id", "class").limit(0), 3).count() == 0
+
+
+def test_classes_and_folds(spark):
+    told = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("a", "d"), (None, "a"), ("a", None)], "t string, p string")
+    got = {tuple(r) for r in metrics.per_class(told, "t", "p").collect()}
+    assert got == {("a", 1, 2, 1, 1), ("b", 1, 0, 1, 3), ("c", 0, 1, 0, 4), ("d", 0, 0, 1, 4)}
+    assert metrics.per_class(told.limit(0), "t", "p").count() == 0
+
+
+def test_folds_of_machines_against_a_run_a_fold(spark):
+    """Every document is held out once, and what decides on it is what machines taught by the other folds alone decide."""
+    rng = random.Random(7)
+    rows = [(i, c, [(s, rng.random() + (2.0 if s == c else 0.0)) for s in range(4)]) for i in range(48) for c in [i % 3 if i else 9]]
+    labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, center_id long")
+    doc_terms = spark.createDataFrame([(i, str(s), w) for i, _, cells in rows for s, w in cells], "doc_id long, stem string, tf_idf double")
+    config = EngineConfig(k=3)
+    got = {r.doc_id: (r["class"], r.predicted) for r in classify.fold_svm(labels, doc_terms, 2, config).collect()}
+    of = {r.doc_id: r.f for r in labels.select("doc_id", metrics.fold(F.col("doc_id"), 2).alias("f")).collect()}
+    want = {}
+    for f in (0, 1):
+        taught = labels.where(F.col("doc_id").isin([i for i in of if of[i] != f]))
+        asked = labels.where(F.col("doc_id").isin([i for i in of if of[i] == f]))
+        voted = asked.select(F.col("doc_id").alias("new_id")).crossJoin(taught.select(F.col("center_id").alias("class")).distinct()).withColumn("votes", F.lit(0))
+        for r in classify.svm_label(classify.svm_votes(classify.class_pairs(voted), taught, doc_terms, doc_terms, config), voted).collect():
+            want[r.new_id] = (rows[r.new_id][1], r.svm_class)
+    assert got == want and len(got) == 48 and sum(a == b for a, b in got.values()) > 40 and got[0] != (9, 9)
+
+
 def test_partitioned_jdbc(spark):
     url = {"url": "jdbc:derby:memory:parted;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(0, 1000, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).write.format("jdbc").options(dbtable="parted", **url).save()
