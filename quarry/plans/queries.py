@@ -309,6 +309,18 @@ def pairwise_cosine(spark, sf_dir):
     return similarity.pairwise_cosine(_terms(spark, sf_dir), CONFIG)
 
 
+@query(
+    _with(
+        "SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n, 0) AS n_links FROM documents d LEFT JOIN same USING (doc_id) LEFT JOIN linked USING (doc_id)",
+        "same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM (SELECT doc_id, string_agg(stem || ' ' || tf, ',' ORDER BY stem) AS k FROM tf JOIN unit USING (doc_id, stem) GROUP BY doc_id))",
+        f"linked AS (SELECT doc_id, count(*) AS n FROM (SELECT u.doc_id, v.doc_id AS other FROM unit u JOIN unit v USING (stem) WHERE u.doc_id <> v.doc_id GROUP BY ALL HAVING {_snap('sum(u.w * v.w)')} >= 0.8) GROUP BY doc_id)",
+    )
+)
+def similar_documents(spark, sf_dir):
+    """How many documents have a cosine similarity of 0.8 or more to each."""
+    return similarity.similar_documents(_docs(spark, sf_dir), _terms(spark, sf_dir), 0.8, CONFIG)
+
+
 @query(
     _with(
         "SELECT x AS doc_a, y AS doc_b, sim FROM low UNION ALL SELECT y, x, sim FROM low UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM documents",

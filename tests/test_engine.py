@@ -539,6 +539,27 @@ def test_folds_of_machines_against_a_run_a_fold(spark):
     assert got == want and len(got) == 48 and sum(a == b for a, b in got.values()) > 40 and got[0] != (9, 9)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_similar_documents_against_all_pairs(spark, least):
+    """Near copies, texts in many copies, frequent and rare words, texts without terms."""
+    rng = random.Random(11)
+    base = [[rng.choice("ab cd ef gh".split()) if rng.random() < 0.4 else f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 25))] for _ in range(40)]
+    near = [[w if rng.random() < 0.85 else f"w{rng.randrange(60)}" for w in rng.choice(base)] for _ in range(60)]
+    texts = [" ".join(t) for t in [*base, *near, *[base[0]] * 30, list(reversed(base[1])), base[2] * 2]] + [None, "", "the is", "w1"]
+    docs = corpus(spark, texts)
+    doc_terms = terms.tfidf(docs, CONFIG)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similarity.similar_documents(docs, doc_terms, least, CONFIG).collect()}
+    pairs = [(r.doc_a, r.doc_b) for r in similarity.pairwise_cosine(doc_terms, CONFIG).where(F.col("sim") >= least).collect()]
+    bags, first = {}, {}
+    for r in doc_terms.collect():
+        bags.setdefault(r.doc_id, set()).add((r.stem, r.tf))
+    for i in sorted(bags):
+        first.setdefault(frozenset(bags[i]), i)
+    want = {i: (first[frozenset(bags[i])] if i in bags else i, sum(i in p for p in pairs)) for i in range(len(texts))}
+    assert got == want and got[100][0] == 0 and got[100][1] >= 30
+    assert similarity.similar_documents(docs.limit(0), doc_terms.limit(0), least).count() == 0
+
+
 def test_partitioned_jdbc(spark):
     url = {"url": "jdbc:derby:memory:parted;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(0, 1000, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).write.format("jdbc").options(dbtable="parted", **url).save()
