@@ -12,7 +12,8 @@ fingerprint is too coarse to find all such pairs by its segments: the segment ta
 tables hold bands, each of a few minima of the shingle set under different orders, which a similar pair shares with a known
 probability (at 0.8, all but 1 of 5,000 pairs share one of 12 bands of 3 minima). What no other text shares is dropped from the tables at once.
 Texts that share a table entry are first compared with one leader of theirs, a few times over with different leaders, those that share
-most with others first, so that of a group of near copies only members are enumerated in pairs that no leader has linked.
+most with others first; those that no leader has linked meet in tiles of bounded blocks, whose task compares them and gives back a
+forest of links, so that no pair of them is a row.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text with fewer words than a shingle is one shingle;
 a text without words, or null, has fingerprint zero and no shingles, and all such texts are similar; texts are told apart by
@@ -46,8 +47,9 @@ BANDS, MINIMA = 12, 3
 NEAR = 2
 _ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _JOIN = np.random.default_rng(12).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes of shingle sets in a block, about.
+#: Bytes of shingle sets in a block, about, and texts in it.
 _SETS = 4 << 20
+_NODES = 512
 
 
 def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> list[int]:
@@ -272,6 +274,71 @@ def _shared(entries: DataFrame, by: str) -> DataFrame:
     return entries.join(many, "address", "left_semi")
 
 
+def _met(table, least: int, distance: int):
+    """A forest of links among one tile's texts: those of a group that share an address, are of different c and, where the tile has two blocks, of different parts."""
+    import pyarrow as pa
+
+    def column(name: str, kind: type = np.int64) -> np.ndarray:
+        return table.column(name).to_numpy().view(kind)
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = table.column(name).combine_chunks()
+        return x.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]
+
+    table = table.sort_by("group")
+    group, node, c, n, part, fp = (column(k) for k in ("group", "node", "c", "n", "part", "fp"))
+    (at, first), (hs, begin) = lists("at"), lists("hs")
+    cross, links = table.column("lo")[0].as_py() != table.column("hi")[0].as_py(), []
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    for f, t in zip(edge.tolist(), np.r_[edge[1:], len(group)].tolist()):
+        may = np.zeros((t - f, t - f), dtype=bool)
+        own, of = at[first[f] : first[t]], np.repeat(np.arange(t - f), np.diff(first[f : t + 1]))
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        for shared in np.split(of[order], cuts):
+            if len(shared) > 1:
+                may[np.ix_(shared, shared)] = True
+        few, many = np.minimum.outer(n[f:t], n[f:t]), np.maximum.outer(n[f:t], n[f:t])
+        may &= (few * 100 >= many * least) & (np.bitwise_count(np.bitwise_xor.outer(fp[f:t].view(np.uint64), fp[f:t].view(np.uint64))) <= distance)
+        if cross:
+            may &= np.not_equal.outer(part[f:t], part[f:t])
+        may, root = np.triu(may, 1), np.unique(c[f:t], return_inverse=True)[1]
+        number, mine = np.unique(hs[begin[f] : begin[t]], return_inverse=True)[1], np.zeros(begin[t] - begin[f], dtype=bool)
+        size, start = np.diff(begin[f : t + 1]), begin[f : t + 1] - begin[f]
+        for i in np.flatnonzero(may.any(axis=1)).tolist():
+            others = np.flatnonzero(may[i] & (root != root[i]))
+            if not len(others):
+                continue
+            mine[number[start[i] : start[i + 1]]] = True
+            same = np.array([np.count_nonzero(mine[number[start[j] : start[j + 1]]]) for j in others.tolist()])
+            mine[number[start[i] : start[i + 1]]] = False
+            for j in others[same * (100 + least) >= (size[i] + size[others]) * least].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    links.append(sorted((int(node[f + i]), int(node[f + j]))))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _tiled(entries: DataFrame, sets: _Sets, least: int, distance: int) -> DataFrame:
+    """Links (a, b) that join all similar nodes of different c that share an address, as forests: no pair is a row.
+
+    Nodes that addresses connect are a group. A group falls into blocks of bounded bytes and texts, every two of which meet in a tile; small groups share one."""
+    lead = entries.groupBy("address").agg(F.min("node").alias("lead"))
+    stars = entries.join(lead, "address").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    groups = written(components(stars), "groups").select("node", F.col("component").alias("group"))
+    nodes = entries.groupBy("node").agg(*(F.first(k).alias(k) for k in ("fp", "n", "c")), F.collect_set("address").alias("at"))
+    size, own = 8 * F.col("n"), written(nodes.join(groups, "node"), "grouped")
+    shared = pieces(own.agg(F.sum(size)).first()[0] or 0, _SETS)  # buckets of small groups
+    parts = own.groupBy("group").agg(F.ceil(F.greatest(F.sum(size) / _SETS, F.count("*") / _NODES)).cast("int").alias("parts"))
+    one, part, other = F.col("parts") <= 1, F.pmod(F.xxhash64("node"), F.col("parts")), F.col("other").cast("long")
+    x = own.join(parts, "group").withColumn("part", F.when(one, F.lit(0).cast("long")).otherwise(part))
+    x = x.join(sets.of(own.select(F.col("node").alias("key"))).withColumnRenamed("key", "node"), "node")
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)))
+    room = F.when(one, F.pmod(F.xxhash64("group"), F.lit(shared))).otherwise(F.col("group"))
+    x = x.select(room.alias("room"), F.least("part", other).alias("lo"), F.greatest("part", other).alias("hi"), "group", "part", "node", "fp", "n", "c", "at", "hs")
+    return written(x.groupBy("room", "lo", "hi").applyInArrow(lambda t: _met(t, least, distance), "a long, b long"), "tiles")
+
+
 def _named(entries: DataFrame, named: DataFrame | None) -> DataFrame:
     """Entries (address, node, fp, n, weight) with c, the component of their node."""
     return entries.withColumn("c", F.col("node")) if named is None else entries.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -323,10 +390,8 @@ def simhash_dedup(
         sets.of(entries.select("node").distinct().withColumnRenamed("node", "key"))
         led = _led(entries, close, similar)
         now = _shared(_named(entries, led), "c")
-        met = now.alias("a").join(now.alias("b"), "address").where((F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & close)
-        met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
         near = matches(_named(nodes.select("node", "fp", "n"), led), min(distance, NEAR), segments, may, hot)
-        links = similar(met.union(near).distinct())
+        links = _tiled(now, sets, similarity, distance).union(similar(near))
         links = links if led is None else links.union(led.select(F.col("node").alias("a"), F.col("component").alias("b")))
     own = cut(rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = own.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -99,6 +99,17 @@ def test_similarity_against_brute_force(spark):
     assert got == {i: (f"{fps[i]:016x}", c) for i, c in enumerate(want)}
 
 
+@pytest.mark.parametrize("most", [3, 512])
+def test_tiles_join_what_leaders_have_not(spark, monkeypatch, most):
+    """Without leaders all is left to the tiles, whose groups have many blocks or one; the forest joins what all similar pairs join."""
+    monkeypatch.setattr(simhash, "LEADERS", 0)
+    monkeypatch.setattr(simhash, "_NODES", most)
+    texts = near_texts()
+    own = [set(shingle_set((t or "").encode()).tolist()) for t in texts]
+    want = grouped(len(texts), lambda i, j: 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]))
+    assert {x.doc_id: x.component_id for x in simhash_dedup(docs(spark, texts)).collect()} == dict(enumerate(want))
+
+
 def test_recall_of_planted_near_copies(spark):
     """Of texts of 150 to 400 words, copies of at most one word in 60 changed: 0.9 of those with similarity 0.8 or more must go."""
     r = random.Random(9)
