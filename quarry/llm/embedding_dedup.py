@@ -2,10 +2,10 @@
 
 Unit vectors with a cosine of at least c differ by a squared distance of at most 2 - 2c. They are rotated at random and split
 into low-dimensional blocks, each with a share of that budget in proportion to its dimensions: in one block at least, a pair
-keeps its budget. Each block is range-joined over a grid of its first coordinates: a vector is at home in one cell and asks
-in every cell that its range reaches. Candidates are verified exactly, and a pair found in several blocks counts in the
-first only, so that links can be counted where they are found. Equal vectors are merged before; cells with many vectors are
-split into tiles; a tile gives back counts and a spanning forest of its links, never its pairs.
+keeps its budget. Vectors are dealt to buckets, and two buckets meet in a tile, whose task joins them block by block: what keeps
+the budget of a block is verified exactly, and a pair found in several blocks counts in the first only. Equal vectors are merged
+before. A tile gives back counts and a spanning forest of its links, never its pairs. A vector is sent once for each bucket, and
+neither once for each block and each cell of a grid: random-like vectors leave a grid over a few coordinates nothing to prune.
 
 Defined results: a vector that is null, zero or holds a null or non-finite component links with nothing; vectors of different
 dimension do not link; rows with one identifier are one node, whose links are counted together; a null identifier is a node
@@ -38,8 +38,8 @@ def _units(payload: list[bytes], dtype) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 16, grid: int = 2, tile: int = 8192, seed: int = 42) -> DataFrame:
-    """One row for each of rows: id, n_links, component_id, kept."""
+def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 16, tile: int = 32_768, seed: int = 42) -> DataFrame:
+    """One row for each of rows: id, n_links, component_id, kept. tile: vectors of a bucket at most, in the mean."""
     kind = rows.schema[vector].dataType.elementType.typeName()
     dtype = np.float32 if kind == "float" else np.float64
     budget = 2 - 2 * cosine + _SLACK
@@ -64,118 +64,77 @@ def embedding_dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
     merged = own.where("payload is not null and id is not null").groupBy("payload").agg(F.min("id").alias("node"), F.count_distinct("id").alias("n"))
     merged = cut(merged)
 
-    def spread(batches):
-        """Rows (dim, block, cell, asks, node, n, payload): each vector at home, and in every cell it asks."""
-        import pyarrow as pa
-
-        for b in batches:
-            nodes, ns, payload = (b.column(c).to_pylist() for c in ("node", "n", "payload"))
-            of_dim: dict[int, list[int]] = {}
-            for k, p in enumerate(payload):
-                of_dim.setdefault(len(p), []).append(k)
-            for size, at in of_dim.items():
-                x = _units([payload[k] for k in at], dtype)
-                dim = x.shape[1]
-                x = x @ rotation(dim, seed)
-                for number, (f, t) in enumerate(blocks_of(dim, block)):
-                    r = np.sqrt(budget * (t - f) / dim)
-                    side = int(np.ceil(1 / r)) + 2
-                    y = x[:, f : min(t, f + grid)]
-
-                    def cell(z, r=r, side=side):
-                        out = np.zeros(len(z), dtype=np.int64)
-                        for c in np.floor((z + 1 + r) / (2 * r)).astype(np.int64).T:
-                            out = out * side + c
-                        return out
-
-                    home = cell(y)
-                    asked = [cell(y + r * np.array([1 if m >> k & 1 else -1 for k in range(y.shape[1])])) for m in range(1 << y.shape[1])]
-                    asked = np.stack(asked, axis=1)
-                    asked.sort(axis=1)
-                    new = np.c_[np.ones(len(asked), dtype=bool), asked[:, 1:] != asked[:, :-1]]
-                    which, col = np.nonzero(new)
-                    pick = np.r_[np.arange(len(at)), which]
-                    cells = np.r_[home, asked[which, col]]
-                    asks = np.r_[np.zeros(len(at), dtype=bool), np.ones(len(which), dtype=bool)]
-                    take = [at[k] for k in pick]
-                    for lo in range(0, len(take), 20_000):
-                        part = slice(lo, lo + 20_000)
-                        n = len(take[part])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([dim] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(cells[part]), pa.array(asks[part]), pa.array([nodes[k] for k in take[part]], pa.int64()), pa.array([ns[k] for k in take[part]], pa.int64()), pa.array([payload[k] for k in take[part]], pa.binary())],
-                            ["dim", "block", "cell", "asks", "node", "n", "payload"],
-                        )
-
     def join(table):
         import pyarrow as pa
 
-        asks = table.column("asks").to_numpy()
-        dim, number = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
+        left, right = table.column("left").to_numpy(), table.column("right").to_numpy()
+        dim = table.column("dim")[0].as_py()
         node, n, payload = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("payload").to_pylist()
-        out = {"node": [], "links": [], "peer": []}
-        if asks.any() and not asks.all():
-            unit = _units(payload, dtype)
-            turned = unit @ rotation(dim, seed)
-            cuts = blocks_of(dim, block)
-            squares = np.stack([(turned[:, f:t] ** 2).sum(axis=1) for f, t in cuts])
-            limit = [budget * (t - f) / dim for f, t in cuts]
-            home, guest = np.flatnonzero(~asks), np.flatnonzero(asks)
-
-            def apart(k, i, j):
-                f, t = cuts[k]
-                return squares[k][i][:, None] + squares[k][j] - 2 * turned[i, f:t] @ turned[j, f:t].T
-
+        unit = _units(payload, dtype)
+        turned = unit @ rotation(dim, seed)
+        cuts = blocks_of(dim, block)
+        squares = np.stack([(turned[:, f:t] ** 2).sum(axis=1) for f, t in cuts])
+        limit = [budget * (t - f) / dim for f, t in cuts]
+        root, links = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
+        guest, home = np.flatnonzero(left), np.flatnonzero(right)
+
+        def apart(k, i, j):
+            f, t = cuts[k]
+            return squares[k][i][:, None] + squares[k][j] - 2 * turned[i, f:t] @ turned[j, f:t].T
+
+        def joined(a, b):
+            while len(a):  # hook roots together; what is left joins different trees
+                ra, rb = root[a], root[b]
+                other = ra != rb
+                a, b, ra, rb = a[other], b[other], ra[other], rb[other]
+                np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+                while (root[root] != root).any():
+                    root[:] = root[root]
+
+        for number, (f, t) in enumerate(cuts):
             # a first look in single precision, with room for its rounding: squared distances of the block as one product
-            f, t = cuts[number]
             own, one = turned[:, f:t], np.ones(len(turned))
-            left = np.c_[-2 * own, squares[number], one].astype(np.float32)[guest]
-            right = np.ascontiguousarray(np.c_[own, one, squares[number]].astype(np.float32)[home].T)
-            names, place = np.unique(node, return_inverse=True)
-            root, links = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
-            step = max(16, (1 << 19) // len(home))
+            asks = np.c_[-2 * own, squares[number], one].astype(np.float32)[guest]
+            answers = np.ascontiguousarray(np.c_[own, one, squares[number]].astype(np.float32)[home].T)
+            step = max(16, (1 << 19) // max(1, len(home)))
             for lo in range(0, len(guest), step):
                 g = guest[lo : lo + step]
-                near = left[lo : lo + step] @ right <= np.float32(limit[number] + 1e-5)
-                if (many := np.count_nonzero(near)) > 0.05 * near.size:  # a dense cell: whole matrices
+                near = asks[lo : lo + step] @ answers <= np.float32(limit[number] + 1e-5)
+                if (many := np.count_nonzero(near)) > 0.05 * near.size:  # dense: whole matrices
                     near = (apart(number, g, home) <= limit[number]) & (unit[g] @ unit[home].T >= cosine)
                     for k in range(number):
                         near &= apart(k, g, home) > limit[k]
                     i, j = np.nonzero(near)
-                else:
-                    if not many:
-                        continue
+                    a, b = g[i], home[j]
+                elif many:
                     i, j = np.divmod(np.flatnonzero(near), len(home))
-                    ok = np.einsum("ij,ij->i", unit[g[i]], unit[home[j]]) >= cosine
-                    i, j = i[ok], j[ok]
+                    a, b = g[i], home[j]
+                    ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                    a, b = a[ok], b[ok]
                     for k in range(number + 1):
                         f, t = cuts[k]
-                        d = squares[k][g[i]] + squares[k][home[j]] - 2 * np.einsum("ij,ij->i", turned[g[i], f:t], turned[home[j], f:t])
+                        d = squares[k][a] + squares[k][b] - 2 * np.einsum("ij,ij->i", turned[a, f:t], turned[b, f:t])
                         ok = d > limit[k] if k < number else d <= limit[k]
-                        i, j = i[ok], j[ok]
-                a, b = place[g[i]], place[home[j]]
+                        a, b = a[ok], b[ok]
+                else:
+                    continue
                 other = a != b
-                a, b, j = a[other], b[other], j[other]
-                links += np.bincount(a, weights=n[home[j]], minlength=len(names)).astype(np.int64)
-                while len(a):  # hook roots together; what is left joins different trees
-                    ra, rb = root[a], root[b]
-                    other = ra != rb
-                    a, b, ra, rb = a[other], b[other], ra[other], rb[other]
-                    np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-                    while (root[root] != root).any():
-                        root = root[root]
-            on = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
-            out = {"node": names[on], "links": links[on], "peer": names[root[on]]}
-        return pa.table(out, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("peer", pa.int64())]))
-
-    cells = merged.mapInArrow(spread, "dim int, block int, cell long, asks boolean, node long, n long, payload binary")
-    # a cell's tiles: so many pieces of those at home times so many of those that ask; there are no more cells than the grid has
-    size = cells.groupBy("dim", "block", "cell").agg(F.count_if(~F.col("asks")).alias("homes"), F.count_if("asks").alias("guests")).where("homes > 0 and guests > 0")
-    size = size.select("dim", "block", "cell", F.ceil(F.col("homes") / tile).cast("int").alias("p"), F.ceil(F.col("guests") / tile).cast("int").alias("q"))
-    x = cells.join(F.broadcast(size), ["dim", "block", "cell"])
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("p"))).cast("int")
-    x = x.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("p")).otherwise(F.col("q")) - 1)))
-    x = x.select("dim", "block", "cell", F.when(F.col("asks"), F.col("theirs")).otherwise(F.col("mine")).alias("p"), F.when(F.col("asks"), F.col("mine")).otherwise(F.col("theirs")).alias("q"), "asks", "node", "n", "payload")
-    found = cut(x.groupBy("dim", "block", "cell", "p", "q").applyInArrow(join, "node long, links long, peer long"))
+                a, b = a[other], b[other]
+                links += np.bincount(a, weights=n[b], minlength=len(node)).astype(np.int64)
+                if not left.all():  # two buckets meet once, for both
+                    links += np.bincount(b, weights=n[a], minlength=len(node)).astype(np.int64)
+                joined(a, b)
+        on = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+        return pa.table({"node": node[on], "links": links[on], "peer": node[root[on]]}, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("peer", pa.int64())]))
+
+    # so many buckets that their pairs keep a cluster busy, and more where they would be too large for a task
+    size = merged.count()
+    many = max(min(8, -(-size // 1024)), -(-size // tile), 1)
+    mine = F.pmod(F.xxhash64("node"), F.lit(many)).cast("int")
+    x = merged.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    x = x.select(F.length("payload").cast("int").alias("bytes"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "n", "payload")
+    x = x.select((F.col("bytes") / np.dtype(dtype).itemsize).cast("int").alias("dim"), "p", "q", (F.col("mine") == F.col("p")).alias("left"), (F.col("mine") == F.col("q")).alias("right"), "node", "n", "payload")
+    found = cut(x.groupBy("dim", "p", "q").applyInArrow(join, "node long, links long, peer long"))
     linked = components(found.where("node <> peer").select(F.col("node").alias("a"), F.col("peer").alias("b")).union(own.join(merged, "payload").where("id <> node").select("id", "node")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     per = merged.join(counts, "node", "left").select("payload", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,15 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes written to shuffles so far, in a session of one process."""
+
+    def told() -> int:
+        time.sleep(0.5)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    return told
