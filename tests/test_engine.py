@@ -82,6 +82,30 @@ def test_nearest_neighbours(spark):
     assert [(r.class1, r.class2) for r in classify.class_pairs(classify.candidates(near)).where("new_id = 0").collect()] == [(0, 2)]
 
 
+def test_nearest_neighbours_move_no_pairs(spark, shuffled):
+    """600 documents of frequent words, asked by all: 360,000 pairs share a stem, and none that is not near is moved."""
+    rng = random.Random(4)
+    docs = corpus(spark, [" ".join(rng.choices([f"w{k}" for k in range(40)], k=30)) for _ in range(600)])
+    doc_terms = terms.tfidf(docs, CONFIG)
+    labels = docs.select("doc_id", F.lit(0).cast("long").alias("center_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    first = shuffled()
+    sims = similarity.cross_cosine(doc_terms, doc_terms).where("left_id <> right_id").collect()
+    before = shuffled()
+    got = [(r.new_id, r.doc_id, r.sim) for r in classify.neighbors(doc_terms, doc_terms, labels, CONFIG, exclude_self=True).collect()]
+    mid = shuffled()
+    small = mid - before < before - first  # than all pairs
+    cells = similarity.matrix_rows(docs, docs, doc_terms).where("doc_a <> doc_b").collect()
+    last = shuffled()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert small and last - mid < before - first, (first, before, mid, last)
+    assert {(r.doc_a, r.doc_b, r.sim) for r in cells if r.sim} == {(r.left_id, r.right_id, r.sim) for r in sims if r.sim} and len(cells) == 600 * 599
+    near = {}
+    for r in sorted(sims, key=lambda r: (-r.sim, r.right_id)):
+        near.setdefault(r.left_id, []).append((r.left_id, r.right_id, r.sim))
+    assert sorted(got) == sorted(x for i in near for x in near[i][: CONFIG.k]) and len(got) == 2400
+
+
 def test_svm_machine_is_optimal():
     r = np.random.default_rng(1)
     for kind in ("linear", "rbf", "poly"):
