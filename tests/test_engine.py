@@ -223,6 +223,16 @@ def test_large_identifiers_and_odd_vectors(spark):
     assert classify.dense_neighbors(vectors.limit(0), vectors, 2).count() == 0
 
 
+def test_vectors_of_different_length_do_not_meet(spark):
+    rows = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [-1.0, 0.0], None, [0.0, 0.0], [1.0, 0.0]]
+    vectors = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    near = {}
+    for r in classify.dense_neighbors(vectors, vectors, 2).orderBy("new_id", "rank").collect():
+        near.setdefault(r.new_id, []).append((r.doc_id, r.sim, r["class"]))
+    assert near[0] == [(7, 1.0, 1), (1, 0.995037, 1)] and near[2] == [(3, 0.993884, 1)] and near[3] == [(2, 0.993884, 0)]
+    assert near[4] == [(1, -0.995037, 1), (0, -1.0, 0)] and set(near) == {0, 1, 2, 3, 4, 7}
+
+
 def test_xml_items(spark):
     from pathlib import Path
 
