@@ -51,7 +51,7 @@ def noun_lemmas(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame |
     return own.join(best, "word", "full").select("word", F.coalesce("stated", "lemma").alias("lemma")).where("lemma <> word")
 
 
-def _runs(tokens: str) -> list[Column]:
+def runs(tokens: str) -> list[Column]:
     """Of a column of sorted tokens: the last place of each distinct one, as an array, and the array of (stem, cnt) that follows from it."""
     ends = F.filter(F.transform(tokens, lambda w, i: F.when(w == F.get(tokens, i + 1), 0).otherwise(i + 1)), lambda end: end > 0)
     count = lambda end, k: (end - F.coalesce(F.get("_ends", k - 1), F.lit(0))).cast("long")
@@ -63,9 +63,9 @@ def term_counts(docs: DataFrame, config: EngineConfig = EngineConfig(), lemmas:
 
     A document's terms are counted where it lies, as runs of its sorted tokens: no shuffle but for lemmas. The outer form of
     inline keeps the optimizer from tokenising a second time, to see whether there is any term."""
-    ends, runs = _runs("_sorted")
+    ends, found = runs("_sorted")
     x = tokenized(docs, config).select("doc_id", "word_count", F.sort_array("tokens").alias("_sorted"))
-    x = x.withColumn("_ends", ends).withColumn("_runs", runs)
+    x = x.withColumn("_ends", ends).withColumn("_runs", found)
     counts = x.select("doc_id", "word_count", F.inline_outer("_runs")).where(F.col("stem").isNotNull())
     if lemmas is None:
         return counts
