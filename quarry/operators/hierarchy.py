@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +69,55 @@ def clusters_at(nodes: DataFrame, forest: DataFrame, height: float) -> DataFrame
         labels = staged(labels.join(roots.withColumnRenamed("c", "cluster"), "cluster").select("node", F.col("root").alias("cluster")))
 
 
-def canopy_links(rows: DataFrame, id: str, vector: str, bits: int, least: float) -> DataFrame:
-    """(a, b, height) of vectors that agree in the signs of their first components (so many bits) and have a cosine of least or more; height is 1 minus it.
+def _tile_forest(v: np.ndarray, side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, height in steps of 1e-6) with i < j: a minimum spanning forest of unit vectors by links as below, ties by i and j; side: links lead to the other one only.
 
-    Vectors meet in canopies only: more bits make them smaller. A vector that is null, zero or holds a null or a number that is not finite has no links."""
+    A tree grows by its lowest link; a vector is multiplied with all others when it joins, so that no matrix is held."""
+    n = len(v)
+    none = np.iinfo(np.int64).max
+    least_key, place, out = np.full(n, none), np.arange(n), np.ones(n, dtype=bool)
+    top = int(np.floor((1 - least) * 1e6 + 1e-3))
+    picked = []
+    for _ in range(n):
+        j = int(least_key.argmin())
+        if least_key[j] == none:
+            j = int(out.argmax())  # nothing leads on: another tree
+        else:
+            picked.append(int(least_key[j]))
+        out[j], least_key[j] = False, none
+        height = np.floor((1 - v @ v[j]) * 1e6 + 0.5).astype(np.int64)
+        ok = out & (height <= top)
+        if side is not None:
+            ok &= side != side[j]
+        key = (np.maximum(height, 0) << 40) | (np.minimum(place, j) << 20) | np.maximum(place, j)
+        ok &= key < least_key
+        least_key[ok] = key[ok]
+    keys = np.array(picked, dtype=np.int64)
+    return (keys >> 20) & 0xFFFFF, keys & 0xFFFFF, keys >> 40
+
+
+def canopy_forest(rows: DataFrame, id: str, vector: str, bits: int, least: float, block: int = 1536) -> DataFrame:
+    """(a, b, height): links of vectors that agree in the signs of their first components (so many bits) and have a cosine of least or more, as far as a minimum spanning forest may hold them.
+
+    height is 1 minus the cosine, in 6 decimals. Vectors meet in canopies only, and there in tiles of two blocks of about so many, each of
+    which gives back a minimum spanning forest of its own links: what it leaves out is the highest link of some circle (ties by height, a, b), so the forest
+    of what is given back is that of all links. A vector that is null, zero or holds a null or a number that is not finite has no links."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    x = rows.select(F.col(id).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    x = rows.select(F.col(id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     x = x.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda c: c / F.col("norm")).alias("v"))
-    x = staged(x.withColumn("canopy", F.array_join(F.transform(F.slice("v", 1, bits), lambda c: F.when(c >= 0, "1").otherwise("0")), "")))
-    a, b = (x.select("canopy", F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in ("a", "b"))
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
-    met = a.join(b, "canopy").where((F.col("a") < F.col("b")) & (F.size("va") == F.size("vb")))
-    return met.select("a", "b", F.round(1 - cosine, 6).alias("height")).where(F.col("height") <= 1 - least)
+    x = staged(x.withColumn("canopy", F.array_join(F.transform(F.slice("v", 1, bits), lambda c: F.when(c >= 0, "1").otherwise("0")), "")).withColumn("dim", F.size("v")))
+    sizes = x.groupBy("canopy", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a canopy
+    x = x.join(sizes, ["canopy", "dim"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other"))
+
+    def each(t):
+        import pyarrow as pa
+
+        t = t.sort_by("id")
+        ids, side = t.column("id").to_numpy(), t.column("mine").to_numpy()
+        v = np.asarray(pa.concat_arrays(t.column("v").chunks).flatten()).reshape(len(ids), -1)
+        i, j, height = _tile_forest(v, side if t.column("p")[0] != t.column("q")[0] else None, least)
+        return pa.table({"a": ids[i], "b": ids[j], "height": height / 1e6})
+
+    return x.select("canopy", "dim", "p", "q", "id", "mine", "v").groupBy("canopy", "dim", "p", "q").applyInArrow(each, "a long, b long, height double")
