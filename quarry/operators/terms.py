@@ -10,13 +10,13 @@ from ..functions.stem import english_stem, porter_stem
 from ..functions.text import truncated, without, words
 
 
-def tokenized(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(doc_id, n_words, n_nonstop, word_count, tokens) of docs (doc_id, text); no shuffle."""
-    x = docs.select("doc_id", words(F.col("text")).alias("all_words"))
-    x = x.select("doc_id", F.size("all_words").cast("long").alias("n_words"), without(F.col("all_words"), config.stopwords).alias("tokens"))
+def tokenized(docs: DataFrame, config: EngineConfig = EngineConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_nonstop, word_count, tokens) of docs (doc_id, text), and columns to keep; no shuffle."""
+    x = docs.select("doc_id", *keep, words(F.col("text")).alias("all_words"))
+    x = x.select("doc_id", *keep, F.size("all_words").cast("long").alias("n_words"), without(F.col("all_words"), config.stopwords).alias("tokens"))
     x = x.withColumn("n_nonstop", F.size("tokens").cast("long"))
     count = {"compat": F.col("n_words") + F.col("n_nonstop"), "total": F.col("n_words"), "nonstop": F.col("n_nonstop")}[config.tf_denominator]
-    return x.select("doc_id", "n_words", "n_nonstop", count.alias("word_count"), "tokens")
+    return x.select("doc_id", *keep, "n_words", "n_nonstop", count.alias("word_count"), "tokens")
 
 
 def lemmatized(terms: DataFrame, lemmas: DataFrame | None) -> DataFrame:
@@ -58,18 +58,18 @@ def runs(tokens: str) -> list[Column]:
     return [ends, F.transform("_ends", lambda end, k: F.struct(F.get(tokens, end - 1).alias("stem"), count(end, k).alias("cnt")))]
 
 
-def term_counts(docs: DataFrame, config: EngineConfig = EngineConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, word_count, stem, cnt): stop words go before words are lemmatised. A row of docs is a document.
+def term_counts(docs: DataFrame, config: EngineConfig = EngineConfig(), lemmas: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to keep, word_count, stem, cnt): stop words go before words are lemmatised. A row of docs is a document.
 
     A document's terms are counted where it lies, as runs of its sorted tokens: no shuffle but for lemmas. The outer form of
     inline keeps the optimizer from tokenising a second time, to see whether there is any term."""
     ends, found = runs("_sorted")
-    x = tokenized(docs, config).select("doc_id", "word_count", F.sort_array("tokens").alias("_sorted"))
+    x = tokenized(docs, config, keep).select("doc_id", *keep, "word_count", F.sort_array("tokens").alias("_sorted"))
     x = x.withColumn("_ends", ends).withColumn("_runs", found)
-    counts = x.select("doc_id", "word_count", F.inline_outer("_runs")).where(F.col("stem").isNotNull())
+    counts = x.select("doc_id", *keep, "word_count", F.inline_outer("_runs")).where(F.col("stem").isNotNull())
     if lemmas is None:
         return counts
-    return lemmatized(counts, lemmas).groupBy("doc_id", "word_count", "stem").agg(F.sum("cnt").alias("cnt"))
+    return lemmatized(counts, lemmas).groupBy("doc_id", *keep, "word_count", "stem").agg(F.sum("cnt").alias("cnt"))
 
 
 def term_frequency(counts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
